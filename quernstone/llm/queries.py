@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import omh
+
+    return omh.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rlz
 
