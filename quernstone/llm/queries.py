@@ -30,6 +30,19 @@ def op8_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.encode(_table(spark, sf_dir, "documents"), bpe.tokenizer_file("word_bpe_49k.json"), with_tokens=False)
+
+
+def op9_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rulefit
+
+    docs = _table(spark, sf_dir, "documents")
+    return rulefit.scored(docs, rulefit.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
