@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.read(spark, warc.write(_table(spark, sf_dir, "pages")), with_payload=False)
+
+
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -37,6 +43,16 @@ def op4_pivot_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlmodel import UrlRule, judged
+
+    rules = (
+        UrlRule("block", "com", "/en/"), UrlRule("allow", "example.com", "/en/7"), UrlRule("allow", "net", "/de/"),
+        UrlRule("block", "example.net", "/de/8"), UrlRule("block", "org", "/es/"),
+    )
+    return judged(_table(spark, sf_dir, "pages"), rules)
+
+
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -78,6 +94,14 @@ def oracle_sql() -> dict[str, str]:
 
 #: What DuckDB says for the queries that SQL can express.
 SQL = {
+    "op1_warc_dictionary": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, url FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY digest)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to, url
+FROM p LEFT JOIN f USING (digest)
+""",
     "op10_chat_format": r"""
 WITH c AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
