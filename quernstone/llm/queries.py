@@ -31,6 +31,12 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import brown
+
+    return brown.scored(_table(spark, sf_dir, "documents"))
+
+
 def op8_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rlz
 
