@@ -95,11 +95,6 @@ def window_anchors(h: np.ndarray, ptr: np.ndarray, window: int) -> tuple[np.ndar
     return inside, at[inside], least[inside]
 
 
-def _repeats_in(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(values, return_counts=True)
-    return keys, counts
-
-
 def _anchor_counts(window: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,6 +109,33 @@ def _anchor_counts(window: int):
     return go
 
 
+_ROWS = "key long, at long, doc long, ref_doc long, ref_start int, n int"
+
+
+def _row_batch(key, key2, doc, start, ref_doc=None, ref_start=None, n=None) -> pa.RecordBatch:
+    """Places in one layout: ``at`` is the second hash and the start; repeats already settled have a reference and a length."""
+    at = key2.astype(np.int64) << 32 | start.astype(np.int64)
+    none = lambda kind: pa.nulls(len(key), kind)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key), pa.array(at), pa.array(doc), none(pa.int64()) if n is None else pa.array(ref_doc), none(pa.int32()) if n is None else pa.array(ref_start.astype(np.int32)), none(pa.int32()) if n is None else pa.array(n.astype(np.int32))],
+        ["key", "at", "doc", "ref_doc", "ref_start", "n"],
+    )
+
+
+def _runs(text, doc, start, ref_doc, ref_start):
+    """Repeats of the same reference that follow each other, as (doc, start, ref_doc, ref_start, n)."""
+    order = np.lexsort((start, start - ref_start, ref_doc, text))
+    text, doc, start, ref_doc, ref_start = (x[order] for x in (text, doc, start, ref_doc, ref_start))
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (start[1:] != start[:-1] + 1) | (ref_start[1:] != ref_start[:-1] + 1)
+    first = np.flatnonzero(new)
+    return doc[first], start[first], ref_doc[first], ref_start[first], np.diff(np.append(first, len(start)))
+
+
+def _rows(doc, start, ref_doc, ref_start, n) -> Iterator[pa.RecordBatch]:
+    yield _row_batch(as_long(mix(doc.view(U64))), np.zeros(len(doc), np.int64), doc, start, ref_doc, ref_start, n)
+
+
 def _settle(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (hash, doc, start); in that order: is it the first place of its hash, and which place is that."""
     order = np.lexsort((start, doc, key2, key))
@@ -140,36 +162,30 @@ def _windows(window: int, bloom):
                 text = np.searchsorted(w.ptr, at, side="right") - 1
                 doc, start = ids[lo:hi][text], (at - w.ptr[text]).astype(np.int64)
                 order, head, first = _settle(key, key2, doc, start)
-                doc, start, key, key2 = doc[order], start[order], key[order], key2[order]
+                doc, start, key, key2, text = doc[order], start[order], key[order], key2[order], text[order]
                 later = (doc != doc[first]) | (start != start[first])
-                out = np.flatnonzero(head | later)
-                local = later[out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.where(local, as_long(mix(doc[out].view(U64))), key[out])),
-                        pa.array(np.where(local, 0, key2[out]).astype(np.int32)),
-                        pa.array(doc[out]), pa.array(start[out].astype(np.int32)),
-                        pa.array(doc[first][out], mask=~local), pa.array(start[first][out].astype(np.int32), mask=~local),
-                    ],
-                    ["key", "key2", "doc", "start", "ref_doc", "ref_start"],
-                )
+                yield from _rows(*_runs(text[later], doc[later], start[later], doc[first][later], start[first][later]))
+                yield _row_batch(key[head], key2[head], doc[head], start[head])
 
     return go
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (ref_doc null last.., key, doc, start): all but the first place of each hash."""
+    """Rows sorted by (key, at less its start, doc, start): all but the first place of each hash."""
     last = None
+    names = ["doc", "start", "ref_doc", "ref_start", "n"]
     for batch in batches:
-        key, key2, doc, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, at, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(key):
             continue
-        settled = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        yield batch.filter(pa.array(settled)).select([2, 3, 4, 5])
-        open_ = np.flatnonzero(~settled)
-        if not len(open_):
+        key2, start = at >> 32, at & 0xFFFFFFFF
+        settled = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+        done = batch.filter(pa.array(settled))
+        yield pa.RecordBatch.from_arrays([done.column(2), pa.array(start[settled].astype(np.int32)), *(done.column(i) for i in (3, 4, 5))], names)
+        rest = np.flatnonzero(~settled)
+        if not len(rest):
             continue
-        key, key2, doc, start = key[open_], key2[open_], doc[open_], start[open_]
+        key, key2, doc, start = key[rest], key2[rest], doc[rest], start[rest]
         if last is not None:  # the batch before may hold the first place of this one's first hash
             key, key2, doc, start = (np.concatenate([[x], y]) for x, y in zip(last, (key, key2, doc, start), strict=True))
         head = np.ones(len(key), dtype=bool)
@@ -181,21 +197,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = first[-1]
         last = key[f], key2[f], doc[f], start[f]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[later].astype(np.int64)), pa.array(start[later].astype(np.int32)), pa.array(doc[first][later].astype(np.int64)), pa.array(start[first][later].astype(np.int32))],
-            ["doc", "start", "ref_doc", "ref_start"],
+            [pa.array(doc[later]), pa.array(start[later].astype(np.int32)), pa.array(doc[first][later]), pa.array(start[first][later].astype(np.int32)), pa.array(np.ones(later.sum(), np.int32))], names
         )
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, ref_doc, ref_start): each window of ``window`` words that also starts earlier, and where."""
+    """(doc, start, ref_doc, ref_start, n): n windows of ``window`` words in a row, from ``start`` on, that also start earlier, and where."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc"))
     counted = texts.select("text").mapInArrow(_anchor_counts(window), "anchor long, n int")
     repeated = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bloom = spark.sparkContext.broadcast(Bloom(repeated, "anchor"))
-    places = texts.mapInArrow(_windows(window, bloom), "key long, key2 int, doc long, start int, ref_doc long, ref_start int")
-    blocks = places.repartition("key").sortWithinPartitions("key", "key2", "doc", "start")
-    return blocks.mapInArrow(_scan, "doc long, start int, ref_doc long, ref_start int")
+    places = texts.mapInArrow(_windows(window, bloom), _ROWS)
+    blocks = places.repartition("key").sortWithinPartitions("key", F.shiftright("at", 32), "doc", "at")
+    return blocks.mapInArrow(_scan, "doc long, start int, ref_doc long, ref_start int, n int")
 
 
 def parse(start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
@@ -209,6 +224,18 @@ def parse(start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, window:
     return [(int(start[a]), int(start[b] - start[a]) + window, int(ref_doc[a]), int(start[a] - lag[a])) for a, b in zip(first, last, strict=True)]
 
 
+def _unpacked(spans: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, reference document and reference start of each repeated window of a document."""
+    at = spans.field("at")
+    count = np.diff(at.offsets.to_numpy())
+    at = at.flatten()
+    n = at.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(at.field("start").to_numpy(zero_copy_only=False).astype(np.int64), n) + np.arange(len(begin)) - begin
+    ref_doc, lag = (np.repeat(np.repeat(spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64), count), n) for c in ("ref_doc", "lag"))
+    return start, ref_doc, start - lag
+
+
 def _cut(window: int, with_text: bool):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,8 +247,7 @@ def _cut(window: int, with_text: bool):
                 words = text.split()
                 n, kept, factors = len(words), text, []
                 if spans[i].is_valid:
-                    v = spans[i].values
-                    factors = parse(*(v.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "ref_doc", "ref_start")), window)
+                    factors = parse(*_unpacked(spans[i].values), window)
                     gone = np.zeros(n + 1, dtype=np.int32)
                     for at, length, _, _ in factors:
                         gone[min(at, n)] += 1
@@ -253,11 +279,10 @@ def _without(text: bytes, keep: np.ndarray) -> bytes:
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)
     and, ``with_text``, kept_text (white space as it was) and factors.  ``keep``: columns to carry along."""
-    spans = (
-        repeated_windows(docs, window)
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("start", "ref_doc", "ref_start")).alias("spans"))
-    )
+    # starts that share a reference and a distance are gathered first: a few bytes for each window
+    lag = (F.col("start") - F.col("ref_start")).alias("lag")
+    along = repeated_windows(docs, window).groupBy("doc", "ref_doc", lag).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    spans = along.groupBy("doc").agg(F.collect_list(F.struct("ref_doc", "lag", "at")).alias("spans"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         *(F.col(c).alias(f"other_{c}") for c in keep), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc"),
