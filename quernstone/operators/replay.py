@@ -36,7 +36,7 @@ def running(ops: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def snapshot(ops: DataFrame, log_index: int) -> DataFrame:
     """The state after all entries up to an index."""
-    return fold(ops.where(F.col("log_index") <= log_index)).withColumn("log_index", F.lit(log_index).cast("long"))
+    return fold(ops.where(F.col("log_index") <= log_index))
 
 
 def replay(state: DataFrame, ops: DataFrame) -> DataFrame:
