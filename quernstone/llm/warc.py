@@ -107,7 +107,7 @@ def _writer(folder: str, archive_limit: int):
     def write(rows: list[bytes]) -> pa.RecordBatch:
         name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         fs, inner = _open(name)
-        with fs.open_output_stream(inner) as out:
+        with fs.open_output_stream(inner, compression=None) as out:
             for part in archive_bytes(rows):
                 out.write(part)
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64())], ["archive", "n_records"])
@@ -192,7 +192,7 @@ def _reader(with_payload: bool):
             for path in batch.column(0).to_pylist():
                 fs, inner = _open(path)
                 rows: list[tuple] = []
-                with fs.open_input_stream(inner) as stream:
+                with fs.open_input_stream(inner, compression=None) as stream:
                     for data in read_frames(stream):
                         r = parse_record(data)
                         h, kind = r["headers"], r["headers"]["warc-type"]
