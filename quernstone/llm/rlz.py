@@ -26,10 +26,10 @@ Beyond about 30 M repeated anchors the filter lets unrepeated anchors pass and s
 more windows, at most one for each word; results stay the same.
 
 Defined results: null text counts as empty; empty texts and texts under ``window`` words keep
-all words; a null doc_id sorts after all others; rows that share a doc_id are one document
-(equal starts are not earlier, so repeated rows keep their first copies), and what is a
-repeat in one of them goes from all; an empty table gives an empty result; other columns are not
-read.
+all words; a null doc_id sorts after all others, and of rows without one each different text is a document
+of its own; rows that share a doc_id are one document (equal starts are not earlier, so repeated
+rows keep their first copies), and what is a repeat in one of them goes from all; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bits import Bloom
@@ -48,7 +48,8 @@ from .wordhash import NOT_SPACE, U64, Words, as_long, mix, text_runs
 WINDOW = 20
 RUN_BYTES = 8 << 20
 _K = [U64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
-_LAST = np.iinfo(np.int64).max
+#: Documents without an id are numbered by their text, from here on.
+_UNNAMED = (1 << 63) - (1 << 40)
 
 
 def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -150,7 +151,7 @@ def _windows(window: int, bloom):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = bloom.value
         for batch in batches:
-            ids = batch.column(1).fill_null(_LAST).to_numpy(zero_copy_only=False)
+            ids = batch.column(1).to_numpy()
             for lo, hi, data, offsets in text_runs(batch.column(0), RUN_BYTES):
                 w = Words(data, offsets, NOT_SPACE)
                 h = w.hashes()
@@ -201,10 +202,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _number() -> Column:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 40)))
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, start, ref_doc, ref_start, n): n windows of ``window`` words in a row, from ``start`` on, that also start earlier, and where."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), _number().alias("doc"))
     counted = texts.select("text").mapInArrow(_anchor_counts(window), "anchor long, n int")
     repeated = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bloom = spark.sparkContext.broadcast(Bloom(repeated, "anchor"))
@@ -257,7 +263,7 @@ def _cut(window: int, with_text: bool):
                         kept = _without(text, keep)
                     words = [words[j] for j in np.flatnonzero(keep)]
                 joined = b" ".join(words)
-                rows.append((n, n - len(words), hashlib.sha256(joined).hexdigest(), kept.decode("utf-8", "replace") if with_text else None, [dict(zip(("start", "n_words", "ref_doc_id", "ref_start"), f, strict=True)) for f in factors] if with_text else None))
+                rows.append((n, n - len(words), hashlib.sha256(joined).hexdigest(), kept.decode("utf-8", "replace") if with_text else None, [{"start": a, "n_words": n_, "ref_doc_id": d if d < _UNNAMED else None, "ref_start": b} for a, n_, d, b in factors] if with_text else None))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             factor = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
@@ -285,7 +291,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, keep: t
     spans = along.groupBy("doc").agg(F.collect_list(F.struct("ref_doc", "lag", "at")).alias("spans"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        *(F.col(c).alias(f"other_{c}") for c in keep), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc"),
+        *(F.col(c).alias(f"other_{c}") for c in keep), _number().alias("doc"),
     )
     joined = rows.join(spans, "doc", "left").drop("doc")
     others = "".join(f", `other_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
