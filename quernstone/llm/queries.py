@@ -56,7 +56,7 @@ def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         UrlRule("block", "com", "/en/"), UrlRule("allow", "example.com", "/en/7"), UrlRule("allow", "net", "/de/"),
         UrlRule("block", "example.net", "/de/8"), UrlRule("block", "org", "/es/"),
     )
-    return judged(_table(spark, sf_dir, "pages"), rules)
+    return judged(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,54 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+def _url_sql() -> str:
+    """The URL models in SQL: counts, the four orders, scores and the limit."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz0./-_?=&%:"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    order = """
+c{o} AS (SELECT (gram // 38) % {keep} AS context, gram % 38 AS symbol, sum(good) AS good, sum(bad) AS bad FROM counted GROUP BY ALL),
+t{o} AS (SELECT context, sum(good) AS all_good, sum(bad) AS all_bad FROM c{o} GROUP BY context),
+p{o} AS (
+  SELECT t.context, s.symbol, (coalesce(c.good, 0) + 2.0 * l.p_good) / (all_good + 2.0) AS p_good, (coalesce(c.bad, 0) + 2.0 * l.p_bad) / (all_bad + 2.0) AS p_bad
+  FROM t{o} t CROSS JOIN sym s LEFT JOIN c{o} c ON c.context = t.context AND c.symbol = s.symbol JOIN {low} l ON l.context = t.context % {low_keep} AND l.symbol = s.symbol
+),"""
+    orders = "".join(order.format(o=o, keep=38**o, low=f"p{o - 1}" if o else "flat", low_keep=38 ** max(0, o - 1)) for o in range(4))
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), r AS (
+  SELECT *, host || path AS chars, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h
+), k AS (SELECT chars, rule IN ('example.com/en/7', 'net/de/') AS good, substr(md5(chars), 1, 1) IN ('0', '4', '8', 'c') AS held FROM r WHERE rule IS NOT NULL),
+d AS (SELECT DISTINCT chars FROM r),
+l AS (SELECT chars, [0, 0, 0] || list_transform(list_filter(string_split(translate(lower(chars), '0123456789', '0000000000'), ''), lambda c: c <> ''),
+  lambda c: CASE WHEN instr('{alphabet}', c) > 0 THEN instr('{alphabet}', c) ELSE 37 END) AS x FROM d),
+g AS (SELECT chars, ((x[i] * 38 + x[i + 1]) * 38 + x[i + 2]) * 38 + x[i + 3] AS gram FROM (SELECT chars, x, unnest(range(1, len(x) - 2)) AS i FROM l)),
+counted AS (SELECT gram, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE NOT good) AS bad FROM k JOIN g USING (chars) WHERE NOT held GROUP BY gram),
+sym AS (SELECT unnest(range(1, 38)) AS symbol),
+flat AS (SELECT 0 AS context, symbol, 1.0 / 37 AS p_good, 1.0 / 37 AS p_bad FROM sym),{orders}
+s AS (
+  SELECT g.chars, avg(coalesce(ln(p3.p_good / p3.p_bad), ln(p2.p_good / p2.p_bad), ln(p1.p_good / p1.p_bad), ln(p0.p_good / p0.p_bad), 0)) AS score
+  FROM g LEFT JOIN p3 ON p3.context = g.gram // 38 AND p3.symbol = g.gram % 38 LEFT JOIN p2 ON p2.context = (g.gram // 38) % 1444 AND p2.symbol = g.gram % 38
+  LEFT JOIN p1 ON p1.context = (g.gram // 38) % 38 AND p1.symbol = g.gram % 38 LEFT JOIN p0 ON p0.symbol = g.gram % 38 GROUP BY g.chars
+), b AS (SELECT greatest(least(floor(score * 64), 1024), -1024) AS bin, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE NOT good) AS bad FROM k JOIN s USING (chars) WHERE held GROUP BY 1),
+w AS (SELECT bin, coalesce(sum(bad) OVER q, 0) / (SELECT sum(bad) FROM b) - coalesce(sum(good) OVER q, 0) / (SELECT sum(good) FROM b) AS gain FROM b
+  WINDOW q AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT coalesce((SELECT bin FROM w WHERE gain IS NOT NULL AND isfinite(gain) ORDER BY gain DESC, abs(bin), bin LIMIT 1), 0) / 64.0 AS lim)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN coalesce(score, 0) >= lim THEN 'allow' ELSE 'block' END AS verdict FROM r LEFT JOIN s USING (chars) CROSS JOIN m
+"""
+
+
 #: What DuckDB says for the queries that SQL can express.
 SQL = {
+    "op5_url_language_model": _url_sql(),
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, url FROM pages),
 f AS (SELECT digest, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY digest)

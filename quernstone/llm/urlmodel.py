@@ -4,7 +4,7 @@ Rules (host, path) judge the URLs they fit: a rule fits its host and all subdoma
 path starts with its path, and the longest rule wins.  What the rules accept and reject trains two
 variable-order Markov models of URL characters; they judge the rest.
 
-- Characters of host and path are reduced to 38 symbols (a-z, any digit as 0, ten marks, all else).
+- Characters of host and path are reduced to 37 symbols (a-z, any digit as 0, nine marks, all else).
 - P(c | context) backs off from three symbols of context to none, each order smoothed by the one
   below in proportion to how little its context was seen (add ``strength`` times the lower
   order's probability).
@@ -32,6 +32,7 @@ from .scratch import stored
 
 MARKS = "./-_?=&%:"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABET = LETTERS + "0" + MARKS
 #: Symbol numbers: 0 start, 1-26 letters, 27 digits, 28-36 marks, 37 all else.
 SIZE = 38
 ORDER = 3
@@ -68,10 +69,10 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
 
 
 def symbols(text: Column) -> Column:
-    """array<int> of symbol numbers."""
-    mapped = F.translate(F.translate(F.lower(text), "0123456789", "0" * 10), LETTERS + "0" + MARKS, "".join(chr(64 + i) for i in range(1, SIZE - 1)))
-    code = lambda c: F.ascii(c) - 64
-    return F.transform(F.filter(F.split(mapped, ""), lambda c: c != ""), lambda c: F.when((code(c) > 0) & (code(c) < SIZE - 1), code(c)).otherwise(F.lit(SIZE - 1)))
+    """array<int> of symbol numbers: the place in the alphabet, or the last number for all else."""
+    plain = F.translate(F.lower(text), "0123456789", "0" * 10)
+    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(place(c) > 0, place(c)).otherwise(F.lit(SIZE - 1)))
 
 
 def grams(text: Column) -> Column:
@@ -125,7 +126,7 @@ def judged(pages: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("chars", F.concat("host", "path"))
     known = rows.where("by_rule is not null").select("chars", (F.col("by_rule.verdict") == "allow").alias("good"))
-    held = F.pmod(F.crc32(F.col("chars").cast("binary")), F.lit(4)) == 0
+    held = F.substr(F.md5(F.col("chars").cast("binary")), F.lit(1), F.lit(1)).isin("0", "4", "8", "c")
     model = fit(known.where(~held))
     scores = stored(likelihood(rows.select("chars").distinct(), model), "scores")
     limit = _calibrated(known.where(held), scores)
