@@ -582,6 +582,13 @@ def _(spark, d):
     return consume.fixed_rate_commits(event_log(spark, d), 100)
 
 
+@query("commit_by_topic", f"""WITH {_LOG}, r AS (SELECT topic, "partition", "offset", row_number() OVER (PARTITION BY topic ORDER BY "offset") AS nth FROM log)
+SELECT topic, "partition", "offset" + 1 AS "commit" FROM r WHERE topic <> 'click' AND nth % 100 = 0 UNION ALL SELECT topic, "partition", max("offset") + 1 FROM log WHERE topic = 'click' GROUP BY topic, "partition\"""")
+def _(spark, d):
+    """One topic by its last offsets, the others by the default rate."""
+    return consume.commits_by_topic(event_log(spark, d), {"click": consume.max_offsets})
+
+
 @query("offset_report", f"""WITH {_LOG}, m AS (SELECT topic, "partition", max("offset") + 1 AS c FROM log GROUP BY topic, "partition") SELECT string_agg(topic || '-' || CAST("partition" AS VARCHAR) || '(' || CAST(c AS VARCHAR) || ')', ', ' ORDER BY topic, "partition") AS report FROM m""")
 def _(spark, d):
     return records.offset_report(consume.max_offsets(event_log(spark, d)).withColumnRenamed("commit", "offset"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 Handler = Callable[[DataFrame, int], None]
+CommitPolicy = Callable[[DataFrame], DataFrame]
 PARTITION = ["topic", "partition"]
 
 
@@ -66,6 +67,15 @@ def fixed_rate_commits(log: DataFrame, rate: int = 100) -> DataFrame:
     return rows.select("topic", "partition", (F.col("offset") + 1).alias("commit"), "nth")
 
 
+def commits_by_topic(log: DataFrame, policies: dict[str, CommitPolicy], default: CommitPolicy = fixed_rate_commits) -> DataFrame:
+    """Each topic's commits by its own policy, all other topics' by the default."""
+    rest = log.where(~F.col("topic").isin(*policies)) if policies else log
+    out = default(rest).select(*PARTITION, "commit")
+    for topic, policy in policies.items():
+        out = out.unionByName(policy(log.where(F.col("topic") == topic)).select(*PARTITION, "commit"))
+    return out
+
+
 def worker_of(key: Column, n: int) -> Column:
     """Which of n workers a record goes to."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
