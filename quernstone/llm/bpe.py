@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .wordhash import NOT_SPACE, U64, mix, text_runs
 
 CHUNK_PIECES = 64
-TABLE_PIECES = 250_000
-TABLE_CHUNK_BYTES = 48 << 20
+TABLE_PIECES = 150_000
+TABLE_CHUNK_BYTES = 16 << 20
 _ROLL = [U64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(16)]
 
 
@@ -75,6 +75,10 @@ class Table:
         self.young[key] = value
         self.used += cost
 
+    def rest(self) -> None:
+        """Keep only the younger generation while no task runs."""
+        self.old = {}
+
 
 class Encoder:
     """A tokenizer with its tables of known pieces, chunks and joins."""
@@ -228,6 +232,8 @@ def _encode(contents, with_tokens: bool, others: list[str]):
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string()), *more, *(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in others)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_tokens else []), *others],
                 )
+        encoder.pieces.rest()
+        encoder.chunks.rest()
 
     return go
 
