@@ -75,18 +75,19 @@ def symbols(text: Column) -> Column:
     return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(place(c) > 0, place(c)).otherwise(F.lit(SIZE - 1)))
 
 
-def grams(text: Column) -> Column:
-    """array<int>: for each symbol, it and the three before it as digits of one number, oldest first."""
-    codes = symbols(text)
-    padded = F.concat(F.array_repeat(F.lit(0), ORDER), codes)
-    number = lambda i: sum(padded[i + k] * SIZE ** (ORDER - k) for k in range(ORDER + 1))
-    return F.when(F.size(codes) > 0, F.transform(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: number(i))).otherwise(F.array().cast("array<int>"))
+def with_grams(urls: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and ``gram``, one row for each symbol of ``chars``: it and the three before it as digits
+    of one number, oldest first."""
+    # symbol numbers get a column of their own, or each gram would make them anew
+    rows = urls.select(*keep, F.concat(F.array_repeat(F.lit(0), ORDER), symbols(F.col("chars"))).alias("codes")).where(F.size("codes") > ORDER)
+    number = lambda i: sum(F.get("codes", i + k) * SIZE ** (ORDER - k) for k in range(ORDER + 1))
+    return rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("codes") - ORDER - 1), number)).alias("gram"))
 
 
 def fit(urls: DataFrame, strength: float = STRENGTH) -> tuple[DataFrame, ...]:
     """``urls``: (chars, good boolean), the training rows.  Returns the log ratio by symbols, for orders 3 to 0."""
     counted = (
-        urls.select("good", F.explode(grams(F.col("chars"))).alias("gram"))
+        with_grams(urls, "good")
         .groupBy("gram")
         .agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad"))
     )
@@ -111,8 +112,8 @@ def fit(urls: DataFrame, strength: float = STRENGTH) -> tuple[DataFrame, ...]:
 
 
 def likelihood(chars: DataFrame, model: tuple[DataFrame, ...]) -> DataFrame:
-    """(chars, score) for each distinct value of ``chars``."""
-    exploded = chars.select("chars", F.explode(grams(F.col("chars"))).alias("gram"))
+    """(chars, score) for each distinct value of ``chars``; repeats leave the mean as it is."""
+    exploded = with_grams(chars, "chars")
     for order, table in zip(range(ORDER, -1, -1), model, strict=True):
         exploded = exploded.withColumn(f"gram{order}", F.pmod(F.col("gram"), F.lit(SIZE ** (order + 1))).cast("int"))
         exploded = exploded.join(F.broadcast(table), f"gram{order}", "left")  # at most SIZE ** (order + 1) rows
@@ -128,7 +129,7 @@ def judged(pages: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
     known = rows.where("by_rule is not null").select("chars", (F.col("by_rule.verdict") == "allow").alias("good"))
     held = F.substr(F.md5(F.col("chars").cast("binary")), F.lit(1), F.lit(1)).isin("0", "4", "8", "c")
     model = fit(known.where(~held))
-    scores = stored(likelihood(rows.select("chars").distinct(), model), "scores")
+    scores = stored(likelihood(rows.select("chars"), model), "scores")
     limit = _calibrated(known.where(held), scores)
     out = rows.join(scores, "chars", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     verdict = F.coalesce(F.col("by_rule.verdict"), F.when(F.col("score") >= limit, "allow").otherwise("block"))
