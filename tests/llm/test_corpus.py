@@ -153,6 +153,18 @@ def test_class_model_predicts_better_than_the_base(spark):
     assert got[0] > got[1] * 0.97  # less than the base's log loss
 
 
+@pytest.mark.parametrize("frequent", [1e-6, 5e-3])
+def test_words_of_few_tokens_get_classes_too(spark, monkeypatch, frequent):
+    r = random.Random(11)
+    # two sides by turns; three in four tokens are of words too rare for the rounds, all of one shape
+    sides = [([f"{s}{chr(97 + i)}" for i in range(8)], [f"{s}{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(5)]) for s in "xy"]
+    rows = [(i, " ".join(r.choice(sides[j % 2][r.random() < 0.75]) for j in range(60))) for i in range(300)]
+    monkeypatch.setattr(brown, "CLUSTERED", 0.01)
+    monkeypatch.setattr(brown, "FREQUENT", frequent)
+    got = brown.scored(spark.createDataFrame(rows, "doc_id long, text string"), classes=4).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] - got[1] > 0.25 * got[2]  # knowing the side is worth log10(2) = 0.30 a token
+
+
 def test_rule_ensemble(spark):
     r = random.Random(10)
     rows, labels = [], []
