@@ -91,6 +91,15 @@ def test_near_duplicates(spark):
     assert omh.classes(docs.limit(0)).count() == 0
 
 
+def test_one_shared_sample_is_enough(spark):
+    r = random.Random(5)
+    base = [r.choice(WORDS) for _ in range(100)]
+    # one order gives one sample; whichever it is, a text of just these five words has a lower id and is the bucket's least
+    texts = [*((i, base[i : i + 5]) for i in range(96)), (200, base), (201, [*base[:99], "changed"])]
+    of = dict(omh.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string"), orders=1, least=1).collect())
+    assert of[200] == of[201] == 200
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     item = [r.choice(WORDS) for _ in range(30)]
