@@ -1,19 +1,20 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-Texts are cut where a rolling hash of the last 16 bytes before white space says so (about
-every 64th white space), so a passage is cut alike in every document that has it.  A chunk is
-encoded once in a worker process; from then on its ids and decoded text come from a table of
-bounded memory that lives as long as the process, across tasks.  A chunk seen for the first
-time is put together from pieces, cut before each run of white space, which are kept the
-same way, so most of a new chunk is already known.
-
-Cuts could change the result, so joins are checked by re-encoding:
-
-- Each join of two chunks is re-encoded (last piece and first piece together) and compared.
-- Joins of pieces inside a chunk are re-encoded once for each pair of byte contexts (two bytes
-  before and two after the cut) met in the process.
-- Where the result differs, the document's pieces are merged across the join, and merged
-  further, until re-encoding agrees at every join.
+Texts are cut before white space into pieces; where a rolling hash of the last 16 bytes before a cut says so
+(about every 32nd), a chunk begins, so a passage is chunked alike in every document that has it.
+A chunk's ids are made once and kept in a table of bounded memory that lives as long as the worker
+process, across documents and tasks; every later occurrence takes them from there.  A chunk that isn't known is
+put together from pieces, which are kept and reused the same way.  Both tables find by hash and
+compare the bytes, so a hash that two strings share costs time, never a result.
+
+Cuts could change the result.
+
+- Chunks: the pieces on both sides of each join are re-encoded together, once for each pair
+  met in the process.  Where the result differs from the two parts', the chunks are merged and encoded
+  as one, and merged further, until all joins agree.
+- Pieces inside a chunk are used only if the tokenizer's own rules show that it never reads across such a
+  cut (``separable``).  For any other tokenizer, chunks are encoded whole and joins are checked on
+  whole chunks.
 
 Nothing is shuffled; memory is bounded by the tables' limits and one run of texts.
 
@@ -24,21 +25,24 @@ text; every row gives one row, whatever its doc_id; other columns are carried on
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import NOT_SPACE, U64, mix, text_runs
+from .wordhash import NOT_SPACE, U64, mix, ragged, span_hashes, text_runs
 
-CHUNK_PIECES = 64
-TABLE_PIECES = 150_000
-TABLE_CHUNK_BYTES = 16 << 20
+CHUNK_PIECES = 32
+RUN_BYTES = 4 << 20
+TABLE_PIECES = 600_000
+TABLE_CHUNKS = 60_000
 _ROLL = [U64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(16)]
+#: Splitting patterns none of whose matches goes on from another character to white space.
+_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:
@@ -53,31 +57,106 @@ def tokenizer_file(name: str, folder: str | None = None) -> str:
         return f.read()
 
 
-class Table:
-    """A dict in two generations: when the younger is full, the older goes."""
+def separable(contents: str) -> bool:
+    """May a text be cut between another character and ASCII white space after it, without a change of ids?
 
-    def __init__(self, limit: int):
-        self.young: dict = {}
-        self.old: dict = {}
-        self.limit, self.used = limit, 0
+    True if no rule reads across such a cut: normalizers that act on characters or on white space alone (no
+    composition joins white space to what stands before it), a known splitting pattern (none
+    of whose matches goes on from another character to white space), added tokens that hold no white space and
+    look at nothing beside them.
+    """
+    spec = json.loads(contents)
+
+    def steps(part: dict | None, kind: str) -> list[dict]:
+        if part is None:
+            return []
+        return [s for p in part[kind] for s in steps(p, kind)] if part["type"] == "Sequence" else [part]
+
+    for n in steps(spec["normalizer"], "normalizers"):
+        if n["type"] not in ("NFC", "Lowercase") and not (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "):
+            return False
+    split = False
+    for p in steps(spec["pre_tokenizer"], "pretokenizers"):
+        if p["type"] == "ByteLevel" and not p["add_prefix_space"]:
+            split |= p["use_regex"]
+        elif p["type"] == "Split" and p["pattern"].get("Regex") in _PATTERNS:
+            split = True
+        else:
+            return False
+    plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not any(c.isspace() for c in a["content"]) for a in spec["added_tokens"])
+    return split and plain and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
 
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
 
-    def put(self, key, value, cost: int = 1) -> None:
-        if self.used >= self.limit:
-            self.old, self.young, self.used = self.young, {}, 0
-        self.young[key] = value
-        self.used += cost
+class Table:
+    """Byte strings with their ids, found by hash; the most used half stays when it is full."""
 
-    def rest(self) -> None:
-        """Keep only the younger generation while no task runs."""
-        self.old = {}
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.keys = np.zeros(0, dtype=U64)  # in order; ``row`` is the place of each in what follows
+        self.row = np.zeros(0, dtype=np.int64)
+        self.text, self.text_at = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+        self.ids, self.ids_at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each (different) key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        rows = np.where(self.keys[at] == keys, self.row[at], -1)
+        self.uses[rows[rows >= 0]] += 1
+        return rows
+
+    def add(self, keys: np.ndarray, text: np.ndarray, text_n: np.ndarray, ids: np.ndarray, ids_n: np.ndarray) -> np.ndarray:
+        """Take up keys that aren't there yet; their rows."""
+        rows = len(self.uses) + np.arange(len(keys))
+        self.text_at = np.append(self.text_at, self.text_at[-1] + np.cumsum(text_n))
+        self.ids_at = np.append(self.ids_at, self.ids_at[-1] + np.cumsum(ids_n))
+        self.text, self.ids = np.append(self.text, text), np.append(self.ids, ids.astype(np.uint32))
+        self.uses = np.append(self.uses, np.ones(len(keys), dtype=np.int32))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.row = np.insert(self.keys, at, keys[order]), np.insert(self.row, at, rows[order])
+        return rows
+
+    def same(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Does the string of each row equal the (not empty) span of ``data``."""
+        n = self.text_at[rows + 1] - self.text_at[rows]
+        fits = (rows >= 0) & (n == ends - starts)
+        differs = np.zeros(len(rows), dtype=bool)
+        at = np.flatnonzero(fits)
+        if len(at):
+            n = n[at]
+            unequal = self.text[ragged(self.text_at[rows[at]], n)] != data[ragged(starts[at], n)]
+            differs[at] = np.logical_or.reduceat(unequal, np.cumsum(n) - n)
+        return fits & ~differs
+
+    def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, and how many each has."""
+        n = self.ids_at[rows + 1] - self.ids_at[rows]
+        return self.ids[ragged(self.ids_at[rows], n)], n
+
+    def shrink(self) -> None:
+        """Between runs: when over the limit, keep the half that was used most."""
+        if len(self.uses) <= self.limit:
+            return
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        new = np.full(len(self.uses), -1)
+        new[keep] = np.arange(len(keep))
+        text_n, ids_n = np.diff(self.text_at)[keep], np.diff(self.ids_at)[keep]
+        self.text, self.ids = self.text[ragged(self.text_at[keep], text_n)], self.ids[ragged(self.ids_at[keep], ids_n)]
+        self.text_at, self.ids_at = np.append(0, np.cumsum(text_n)), np.append(0, np.cumsum(ids_n))
+        self.uses = self.uses[keep] >> 1
+        kept = new[self.row] >= 0
+        self.keys, self.row = self.keys[kept], new[self.row[kept]]
+
+
+class Run:
+    """What became of a run of texts: ids one after the other and where each text's end, and the decoded texts likewise."""
+
+    def __init__(self, ids: np.ndarray, ids_at: np.ndarray, decoded: list[bytes]):
+        self.ids, self.ids_at, self.decoded = ids, ids_at, decoded
 
 
 class Encoder:
@@ -90,117 +169,176 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(contents)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        #: Without a decoder, tokens are joined by a space, so decoded parts may be.
-        self.plain = self.tokenizer.decoder is None
-        self.pieces, self.chunks = Table(TABLE_PIECES), Table(TABLE_CHUNK_BYTES)
-        self.good: set[int] = set()
-        self.bad: set[int] = set()
-
-    def ids(self, texts: list[bytes]) -> list[list[int]]:
+        self.fine = separable(contents)
+        self.pieces, self.chunks = Table(TABLE_PIECES), Table(TABLE_CHUNKS)
+        #: Pairs of pieces (whole chunks, if not fine) whose join agrees.
+        self.good = np.zeros(0, dtype=U64)
+        self.looked_up = self.hits = 0
+        if self.tokenizer.decoder is None:  # then decoded tokens are joined by a space
+            known = self.tokenizer.get_vocab(with_added_tokens=True)
+            tokens = [b""] * (max(known.values()) + 1)
+            for token, i in known.items():
+                tokens[i] = token.encode() + b" "
+            self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+            self.token_at = np.append(0, np.cumsum([len(t) for t in tokens]))
+
+    def encode(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
-
-    def values(self, ids: list[list[int]]) -> list[tuple[bytes, str]]:
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False) if self.plain else [""] * len(ids)
-        return [(pack(f"<{len(i)}I", *i), t) for i, t in zip(ids, texts, strict=True)]
-
-    def agree(self, joins: list[tuple[bytes, bytes]]) -> list[bool]:
-        """Does re-encoding each pair together give the ids of its two parts."""
-        flat = self.ids([x for a, b in joins for x in (a, b, a + b)])
-        return [flat[i] + flat[i + 1] == flat[i + 2] for i in range(0, len(flat), 3)]
-
-    def learn(self, pieces: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        known = {}
-        new = []
-        for p in pieces:
-            value = self.pieces.get(p)
-            if value is None:
-                new.append(p)
-            else:
-                known[p] = value
-        for p, value in zip(new, self.values(self.ids(new)), strict=True):
-            known[p] = value
-            self.pieces.put(p, value)
-        return known
-
-    def repaired(self, pieces: list[bytes]) -> tuple[bytes, str]:
-        """Merge pieces across joins that don't agree, until all do; then encode what is left."""
-        out: list[bytes] = []
-        for p in pieces:
-            out.append(p)
-            while len(out) > 1 and not self.agree([(out[-2], out[-1])])[0]:
-                out[-2:] = [out[-2] + out[-1]]
-        return self.joined(self.values(self.ids(out)))
-
-    @staticmethod
-    def joined(values: list[tuple[bytes, str]]) -> tuple[bytes, str]:
-        return b"".join([v[0] for v in values]), " ".join([v[1] for v in values if v[1]])
-
-    def run(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, str]]:
-        """Ids (little-endian unsigned 32-bit) and decoded text of each text of a run."""
-        raw = data.tobytes()
+    def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode(texts)
+        n = np.array([len(i) for i in ids], dtype=np.int64)
+        return np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=int(n.sum())), n
+
+    def decode(self, ids: np.ndarray, ids_at: np.ndarray) -> list[bytes]:
+        if self.tokenizer.decoder is not None:
+            return [t.encode() for t in self.tokenizer.decode_batch([ids[a:b].tolist() for a, b in zip(ids_at[:-1], ids_at[1:], strict=True)], skip_special_tokens=False)]
+        n = self.token_at[ids + 1] - self.token_at[ids]
+        raw = self.token_bytes[ragged(self.token_at[ids], n)].tobytes()
+        at = np.append(0, np.cumsum(n))[ids_at].tolist()
+        return [raw[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def rows_of(self, table: Table, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Row of each span in ``table``, encoded and taken up where new; -1 if its hash is another string's."""
+        if not len(keys):
+            return np.zeros(0, dtype=np.int64)
+        found, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        rows = table.find(found)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            a, b = starts[first[new]], ends[first[new]]
+            ids, n = self.flat([data[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+            rows[new] = table.add(found[new], data[ragged(a, b - a)], b - a, ids, n)
+        rows = rows[which]
+        return np.where(table.same(rows, data, starts, ends), rows, -1)
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all pieces and which of them begin a text: before ASCII white space that follows no other white space."""
         space = ~NOT_SPACE[data]
-        cut = np.zeros(len(data) + 1, dtype=bool)
-        cut[1:-1] = space[1:] & ~space[:-1] if len(data) else False
+        before = np.empty(len(data), dtype=bool)
+        before[0], before[1:] = True, space[:-1]
+        before[1:] |= (data[:-1] >= 28) & (data[:-1] <= 31)
+        high = np.flatnonzero(space & ~before)
+        high = high[(data[high - 1] >= 128) & (high > 2)]
+        x, y, z = data[high - 3], data[high - 2], data[high - 1]
+        # U+0085, U+00A0; U+1680, U+180E, U+2000 to U+207F (white space and marks) and U+3000
+        wide = (y == 0xC2) & ((z == 0x85) | (z == 0xA0)) | (x == 0xE1) & ((y == 0x9A) | (y == 0xA0)) | (x == 0xE2) & ((y == 0x80) | (y == 0x81)) | (x == 0xE3) & (y == 0x80)
+        before[high[wide]] = True
+        cut = space & ~before
+        cut[:3] &= data[:3] < 128  # too near the beginning for the test above
         begins = offsets[:-1][offsets[:-1] < offsets[1:]]
         cut[begins] = True
-        starts = np.flatnonzero(cut[: len(data)])
+        starts = np.flatnonzero(cut)
+        begin = np.zeros(len(data), dtype=bool)
+        begin[begins] = True
+        return starts, begin[starts]
+
+    def run(self, data: np.ndarray, offsets: np.ndarray) -> Run:
+        """Encode and decode the texts of a run."""
+        if not len(data):
+            return Run(np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), [b""] * (len(offsets) - 1))
+        self.pieces.shrink()
+        self.chunks.shrink()
+        starts, is_begin = self.cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        is_begin = np.isin(starts, begins, assume_unique=False)
+        keys = span_hashes(data, starts, ends)
         rolled = np.zeros(len(starts), dtype=U64)
         for j, factor in enumerate(_ROLL):
             rolled += data[np.maximum(starts - 1 - j, 0)].astype(U64) * factor
-        coarse = is_begin | (mix(rolled) % U64(CHUNK_PIECES) == 0)
-        chunk_at = np.flatnonzero(coarse)
-        chunk_end = np.append(chunk_at[1:], len(starts))
-        broken = self.check_joins(raw, data, starts, ends, is_begin, coarse)
-        chunk_keys = [raw[a:b] for a, b in zip(starts[chunk_at].tolist(), ends[chunk_end - 1].tolist(), strict=True)]
-        values: dict[bytes, tuple[bytes, str] | None] = {}
-        parts: dict[bytes, list[bytes]] = {}
-        s, e = starts.tolist(), ends.tolist()
-        for key, a, b in zip(chunk_keys, chunk_at.tolist(), chunk_end.tolist(), strict=True):
-            if key not in values:
-                values[key] = self.chunks.get(key)
-                if values[key] is None:
-                    parts[key] = [raw[s[i] : e[i]] for i in range(a, b)]
-        known = self.learn({p for pieces in parts.values() for p in pieces})
-        for key, pieces in parts.items():
-            values[key] = value = self.joined([known[p] for p in pieces])
-            self.chunks.put(key, value, 200 + 2 * len(key) + len(value[0]))
-        of_text = np.searchsorted(starts[chunk_at], offsets)
-        pieces_of = np.searchsorted(starts, offsets)
-        for t in range(len(offsets) - 1):
-            if broken and any(pieces_of[t] < i < pieces_of[t + 1] for i in broken):
-                ids, text = self.repaired([raw[s[i] : e[i]] for i in range(pieces_of[t], pieces_of[t + 1])])
-            else:
-                ids, text = self.joined([values[k] for k in chunk_keys[of_text[t] : of_text[t + 1]]])
-            if not self.plain:
-                text = self.decode(np.frombuffer(ids, dtype="<u4").tolist())
-            yield ids, text
-
-    def check_joins(self, raw, data, starts, ends, is_begin, coarse) -> list[int]:
-        """Pieces whose join to the piece before them doesn't agree."""
-        inner = np.flatnonzero(~is_begin)
-        if not len(inner):
-            return []
-        at = starts[inner]
-        last = len(data) - 1
-        context = data[np.maximum(at - 2, 0)].astype(np.uint32) << 24 | data[at - 1].astype(np.uint32) << 16 | data[at].astype(np.uint32) << 8 | data[np.minimum(at + 1, last)]
-        kinds, example = np.unique(context, return_index=True)
-        new = [(k, inner[i]) for k, i in zip(kinds.tolist(), example.tolist(), strict=True) if k not in self.good and k not in self.bad]
-        pair = lambda i: (raw[starts[i - 1] : ends[i - 1]], raw[starts[i] : ends[i]])
-        for (k, _), fine in zip(new, self.agree([pair(i) for _, i in new]), strict=True):
-            (self.good if fine else self.bad).add(k)
-        broken = inner[np.isin(context, np.array(sorted(self.bad), dtype=np.uint32))].tolist() if self.bad else []
-        joins: dict[tuple[bytes, bytes], list[int]] = {}
-        for i in np.flatnonzero(coarse & ~is_begin).tolist():
-            joins.setdefault(pair(i), []).append(i)
-        for where, fine in zip(joins.values(), self.agree(list(joins)), strict=True):
-            if not fine:
-                broken += where
-        return broken
+        chunk_at = np.flatnonzero(is_begin | (mix(rolled) % U64(CHUNK_PIECES) == 0))
+        n = np.diff(np.append(chunk_at, len(starts)))
+        place = np.arange(len(starts)) - np.repeat(chunk_at, n)
+        chunk_keys = mix(np.add.reduceat(mix(keys + place.astype(U64) * U64(0xD1342543DE82EF95)), chunk_at) + n.astype(U64))
+        a, b = starts[chunk_at], ends[chunk_at + n - 1]
+        rows = self.chunk_rows(chunk_keys, data, a, b, starts, ends, keys, chunk_at, n)
+        inner = np.flatnonzero(~is_begin[chunk_at])
+        joined = np.ones(len(chunk_at), dtype=bool)
+        if self.fine:
+            at = chunk_at[inner]
+            joined[inner] = self.agree(keys[at - 1], keys[at], data, starts[at - 1], starts[at], ends[at])
+        else:
+            joined[inner] = self.agree(chunk_keys[inner - 1], chunk_keys[inner], data, a[inner - 1], a[inner], b[inner])
+        text_of = np.searchsorted(offsets, a, side="right") - 1
+        odd = np.unique(text_of[(rows < 0) | ~joined])
+        ids, n = self.chunks.ids_of(np.where(rows < 0, 0, rows))
+        of_text = np.bincount(text_of, n, len(offsets) - 1).astype(np.int64)
+        if len(odd):  # these texts' ids are made by repair
+            ends_at = np.cumsum(of_text)
+            parts, at = [], 0
+            for t in odd.tolist():
+                own = np.flatnonzero(text_of == t)
+                fixed = self.repaired([data[i:j].tobytes() for i, j in zip(a[own].tolist(), b[own].tolist(), strict=True)])
+                parts += [ids[at : ends_at[t] - of_text[t]], fixed]
+                at = ends_at[t]
+                of_text[t] = len(fixed)
+            ids = np.concatenate([*parts, ids[at:]])
+        ids_at = np.append(0, np.cumsum(of_text))
+        return Run(ids, ids_at, self.decode(ids, ids_at))
+
+    def chunk_rows(self, chunk_keys, data, a, b, starts, ends, keys, chunk_at, n) -> np.ndarray:
+        """Row of each chunk in the table of chunks; -1 where it can't be used."""
+        found, first, which = np.unique(chunk_keys, return_index=True, return_inverse=True)
+        self.looked_up += len(chunk_keys)
+        if not self.fine:
+            self.hits += len(chunk_keys) - int((self.chunks.find(found) < 0).sum())
+            return self.rows_of(self.chunks, chunk_keys, data, a, b)
+        rows = self.chunks.find(found)
+        new = np.flatnonzero(rows < 0)
+        self.hits += len(chunk_keys) - len(new)
+        if len(new):
+            own = first[new]
+            at = ragged(chunk_at[own], n[own])
+            piece_rows = self.rows_of(self.pieces, keys[at], data, starts[at], ends[at])
+            begins = np.cumsum(n[own]) - n[own]
+            whole = np.logical_and.reduceat(piece_rows >= 0, begins)
+            ids, ids_n = self.pieces.ids_of(np.where(piece_rows < 0, 0, piece_rows))
+            ids_n = np.add.reduceat(ids_n, begins)
+            if not whole.all():
+                ids, ids_n = ids[np.repeat(whole, ids_n)], ids_n[whole]
+            own = own[whole]
+            rows[new[whole]] = self.chunks.add(found[new[whole]], data[ragged(a[own], b[own] - a[own])], b[own] - a[own], ids, ids_n)
+        rows = rows[which]
+        return np.where(self.chunks.same(rows, data, a, b), rows, -1)
+
+    def agree(self, left: np.ndarray, right: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Does re-encoding the spans a..b and b..c together give the ids of the two parts; once for each pair of hashes."""
+        pair = mix(left * U64(0xA24BAED4963EE407) + right)
+        found, first, which = np.unique(pair, return_index=True, return_inverse=True)
+        fine = np.isin(found, self.good, assume_unique=True)
+        new = np.flatnonzero(~fine)
+        if len(new):
+            a, b, c = a[first[new]], b[first[new]], c[first[new]]
+            table = self.pieces if self.fine else self.chunks
+            one = self.rows_of(table, left[first[new]], data, a, b)
+            two = self.rows_of(table, right[first[new]], data, b, c)
+            usable = (one >= 0) & (two >= 0)
+            (x, x_n), (y, y_n) = table.ids_of(np.where(usable, one, 0)), table.ids_of(np.where(usable, two, 0))
+            both, n = self.flat([data[i:j].tobytes() for i, j in zip(a.tolist(), c.tolist(), strict=True)])
+            fine[new] = usable & (n == x_n + y_n)
+            at = np.cumsum(n) - n
+            for parts, parts_n, begin in ((x, x_n, at), (y, y_n, at + x_n)):
+                own = np.flatnonzero(fine[new] & (parts_n > 0))
+                if len(own):
+                    k = parts_n[own]
+                    differs = parts[ragged((np.cumsum(parts_n) - parts_n)[own], k)] != both[ragged(begin[own], k)]
+                    fine[new[own]] &= ~np.logical_or.reduceat(differs, np.cumsum(k) - k)
+            if len(self.good) > TABLE_PIECES:
+                self.good = self.good[:0]
+            self.good = np.union1d(self.good, found[fine])
+        return fine[which]
+
+    def repaired(self, parts: list[bytes]) -> np.ndarray:
+        """Merge parts of a text across joins that don't agree, until all do; the ids of what is left."""
+        out: list[tuple[bytes, list[int]]] = []
+        for part, ids in zip(parts, self.encode(parts), strict=True):
+            out.append((part, ids))
+            while len(out) > 1:
+                (x, i), (y, j) = out[-2:]
+                both = self.encode([x + y])[0]
+                if both == i + j:
+                    break
+                out[-2:] = [(x + y, both)]
+        return np.array([i for _, ids in out for i in ids], dtype=np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -218,22 +356,18 @@ def _encode(contents, with_tokens: bool, others: list[str]):
         encoder = _encoder(contents.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            for lo, hi, data, offsets in text_runs(column, 2 << 20):
-                n, shas, decoded_shas, tokens, texts = [], [], [], [], []
-                for ids, text in encoder.run(data, offsets):
-                    n.append(len(ids) // 4)
-                    shas.append(hashlib.sha256(ids).hexdigest())
-                    decoded_shas.append(hashlib.sha256(text.encode()).hexdigest())
-                    if with_tokens:
-                        tokens.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
-                        texts.append(text)
-                more = [pa.array(tokens, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_tokens else []
+            for lo, hi, data, offsets in text_runs(column, RUN_BYTES):
+                out = encoder.run(data, offsets)
+                raw, at = out.ids.astype("<u4").tobytes(), (4 * out.ids_at).tolist()
+                shas = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+                decoded_shas = [hashlib.sha256(t).hexdigest() for t in out.decoded]
+                more = []
+                if with_tokens:
+                    more = [pa.ListArray.from_arrays(pa.array(out.ids_at.astype(np.int32)), pa.array(out.ids.astype(np.int32))), pa.array([t.decode() for t in out.decoded], pa.string())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string()), *more, *(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in others)],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(out.ids_at)), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string()), *more, *(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in others)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_tokens else []), *others],
                 )
-        encoder.pieces.rest()
-        encoder.chunks.rest()
 
     return go
 

@@ -1,8 +1,9 @@
 """Words of many texts at once: splitting and hashing on the bytes of an Arrow column.
 
 Nothing here loops over words.  A text column is taken in runs of whole texts of a few MB;
-word limits come from a 256-entry byte table, word hashes from prefix sums of a
-polynomial modulo 2**64.
+word limits come from a 256-entry byte table.  A word's hash is a sum over its bytes of one
+scrambled 64-bit value for each (place in the word, byte), so words that differ have unrelated
+hashes whatever their pattern.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 18
 
 #: Bytes of words: all but space and \t \n \v \f \r.
@@ -25,18 +24,6 @@ WORDLIKE = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)
 #: A-Z to a-z.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, factor: int, n: int) -> np.ndarray:
-    t = _powers.get(name)
-    if t is None or len(t) < n:
-        t = np.full(max(n, PIECE + 1), factor, dtype=U64)
-        t[0] = 1
-        t = _powers[name] = np.multiply.accumulate(t)
-    return t
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (in a new array)."""
     x = x ^ (x >> U64(30))
@@ -47,6 +34,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _place_values(n: np.ndarray) -> np.ndarray:
+    """Value of each (place << 8 | byte)."""
+    return mix((n + U64(1)) * U64(0x9E3779B97F4A7C15))
+
+
+NEAR = 64
+_values = _place_values(np.arange(NEAR << 8, dtype=U64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans stand in order and don't overlap."""
+    out = np.empty(len(starts), dtype=U64)
+    at = 0
+    while at < len(out):
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + PIECE, side="right")))
+        s, e = starts[at:to] - first, ends[at:to] - first
+        n = int(e[-1])
+        place = np.arange(n, dtype=np.int32)
+        place -= np.repeat(s.astype(np.int32), np.diff(np.append(s, n)))
+        far = np.flatnonzero(place >= NEAR)
+        key = place << 8 | data[first : first + n]
+        key[far] &= 255
+        sums = np.empty(n + 1, dtype=U64)
+        sums[0] = 0
+        value = _values[key]
+        value[far] = _place_values(place[far].astype(U64) << U64(8) | data[first + far])
+        np.cumsum(value, out=sums[1:])
+        out[at:to] = mix(sums[e] - sums[s] + (e - s).astype(U64))
+        at = to
+    return out
+
+
+def ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ..., for length[0] places, then from begin[1] on, and so on."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(begin - ends + length, length)
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -73,22 +100,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        out = np.empty(len(self.starts), dtype=U64)
-        at = 0
-        while at < len(out):
-            first = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, first + PIECE, side="right")))
-            last = self.ends[to - 1]
-            x = self.data[first:last].astype(U64)
-            x += U64(1)
-            x *= _table("power", BASE, last - first + 1)[: last - first]
-            sums = np.empty(last - first + 1, dtype=U64)
-            sums[0] = 0
-            np.cumsum(x, out=sums[1:])
-            s, e = self.starts[at:to] - first, self.ends[at:to] - first
-            out[at:to] = mix((sums[e] - sums[s]) * _table("inverse", INVERSE, last - first + 1)[s] + (e - s).astype(U64))
-            at = to
-        return out
+        return span_hashes(self.data, self.starts, self.ends)
 
 
 def text_runs(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -94,13 +94,53 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(docs.limit(0), contents).count() == 0
 
 
-def test_bpe_repairs_joins_that_do_not_agree():
-    """A tokenizer that keeps white space merges across cuts: every cut has to be repaired."""
-    e = bpe.Encoder(bpe.tokenizer_file("byte_bpe_50k.json"))
-    texts = ["a  b", "x\n\n\ny", " lead", "trail  ", "tab\t\tend \n z", "word " * 300]
-    for lo, hi, data, offsets in text_runs(pa.array(texts), 1 << 20):
-        got = [np.frombuffer(ids, "<u4").tolist() for ids, _ in e.run(data, offsets)]
-    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def encoded(e, texts, limit=20000):
+    out = []
+    for _, _, data, offsets in text_runs(pa.array(texts), limit):
+        x = e.run(data, offsets)
+        out += [(x.ids[a:b].tolist(), t.decode()) for a, b, t in zip(x.ids_at[:-1], x.ids_at[1:], x.decoded, strict=True)]
+    return out
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_of_odd_texts(name, monkeypatch):
+    """Texts of fragments at which a cut might matter; small tables, so that they shrink."""
+    monkeypatch.setattr(bpe, "TABLE_PIECES", 300)
+    monkeypatch.setattr(bpe, "TABLE_CHUNKS", 100)
+    fragments = ["a", "b", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\u2003", "\u2028", "\x85", "\x1c", "\u00e9", "e", "\u0301", "\u0130", "\u03a3", "'s", "'t", "'", "1", "12", "_", "<|endoftext|>", "<|", "the", "thing", "\u2019", "\u6f22", "\U0001f642", "\u180e", "x" * 70, "\x00", "!", "?!"]
+    r = np.random.default_rng(7)
+    texts = ["".join(r.choice(fragments, size=r.integers(0, 60))) for _ in range(3000)]
+    e = bpe.Encoder(bpe.tokenizer_file(name))
+    assert e.fine
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(e, texts) == list(zip(want, e.tokenizer.decode_batch(want, skip_special_tokens=False), strict=True))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_repairs_joins_that_do_not_agree(name, monkeypatch):
+    """Cuts inside words, whole chunks re-encoded: wherever ids would change, chunks are merged."""
+    monkeypatch.setattr(bpe, "CHUNK_PIECES", 2)
+    e = bpe.Encoder(bpe.tokenizer_file(name))
+    e.fine = False
+
+    def cuts(data, offsets):
+        begin = np.zeros(len(data), dtype=bool)
+        begin[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(begin | (data < 128) & (np.append(0, data[:-1]) % 3 == 0))
+        return starts, begin[starts]
+
+    e.cuts = cuts
+    r = np.random.default_rng(8)
+    texts = ["".join(r.choice(["the", "thing", " ", "  ", "er", "ing", "\n", "don't", "12"], size=r.integers(0, 60))) for _ in range(400)]
+    assert [ids for ids, _ in encoded(e, texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_compares_bytes_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    e = bpe.Encoder(bpe.tokenizer_file("word_bpe_49k.json"))
+    texts = ["one two three", "four five", "one two three", "", "six"]
+    assert [ids for ids, _ in encoded(e, texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.chunks.find(np.zeros(0, np.uint64)).size == 0
 
 
 def test_chat_round_trip(spark):
