@@ -133,8 +133,8 @@ class Table:
         return fits & ~differs
 
     def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows one after the other, and how many each has."""
-        n = self.ids_at[rows + 1] - self.ids_at[rows]
+        """Ids of all rows one after the other, and how many each has (row -1: none)."""
+        n = np.where(rows < 0, 0, self.ids_at[rows + 1] - self.ids_at[rows])
         return self.ids[ragged(self.ids_at[rows], n)], n
 
     def shrink(self) -> None:
@@ -260,7 +260,7 @@ class Encoder:
             joined[inner] = self.agree(chunk_keys[inner - 1], chunk_keys[inner], data, a[inner - 1], a[inner], b[inner])
         text_of = np.searchsorted(offsets, a, side="right") - 1
         odd = np.unique(text_of[(rows < 0) | ~joined])
-        ids, n = self.chunks.ids_of(np.where(rows < 0, 0, rows))
+        ids, n = self.chunks.ids_of(rows)
         of_text = np.bincount(text_of, n, len(offsets) - 1).astype(np.int64)
         if len(odd):  # these texts' ids are made by repair
             ends_at = np.cumsum(of_text)
@@ -291,7 +291,7 @@ class Encoder:
             piece_rows = self.rows_of(self.pieces, keys[at], data, starts[at], ends[at])
             begins = np.cumsum(n[own]) - n[own]
             whole = np.logical_and.reduceat(piece_rows >= 0, begins)
-            ids, ids_n = self.pieces.ids_of(np.where(piece_rows < 0, 0, piece_rows))
+            ids, ids_n = self.pieces.ids_of(piece_rows)
             ids_n = np.add.reduceat(ids_n, begins)
             if not whole.all():
                 ids, ids_n = ids[np.repeat(whole, ids_n)], ids_n[whole]
@@ -312,7 +312,7 @@ class Encoder:
             one = self.rows_of(table, left[first[new]], data, a, b)
             two = self.rows_of(table, right[first[new]], data, b, c)
             usable = (one >= 0) & (two >= 0)
-            (x, x_n), (y, y_n) = table.ids_of(np.where(usable, one, 0)), table.ids_of(np.where(usable, two, 0))
+            (x, x_n), (y, y_n) = table.ids_of(np.where(usable, one, -1)), table.ids_of(np.where(usable, two, -1))
             both, n = self.flat([data[i:j].tobytes() for i, j in zip(a.tolist(), c.tolist(), strict=True)])
             fine[new] = usable & (n == x_n + y_n)
             at = np.cumsum(n) - n
