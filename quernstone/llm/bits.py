@@ -1,7 +1,7 @@
-"""Fixed-size Bloom filters that Spark builds and a task probes.
+"""Bloom filters that Spark builds and a task probes.
 
-A filter has the same number of bytes at every input size, so it may be broadcast whatever
-the data; when it fills up, probes pass more often.  Every use here follows a probe by an
+A filter has about sixteen bits for each member, but never more than MOST bits (32 MB), so it may be
+broadcast whatever the data; beyond that, probes pass more often.  Every use here follows a probe by an
 exact comparison, so a full filter costs time, never a result.
 """
 
@@ -11,26 +11,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 26
+LEAST, MOST = 1 << 20, 1 << 28
 BUCKET = 1 << 15
 
 
 class Bloom:
-    """Two bits in a map of BITS bits for each member."""
+    """Two bits in a map for each member."""
 
     def __init__(self, members: DataFrame, column: str):
-        """``members``: a long column of keys.  The map is put together by a grouped aggregation
-        whose groups are fixed (BITS / 32768) and arrives as that many rows of 4 KB."""
+        """``members``: a long column of keys, read twice: counted first.  The map is put together by a grouped
+        aggregation with a group for each 32768 bits and arrives as that many rows of 4 KB."""
+        wanted = 16 * members.count()
+        self.bits = min(MOST, max(LEAST, 1 << max(0, wanted - 1).bit_length()))
         key = F.col(column)
-        first = F.pmod(key, F.lit(BITS))
-        second = F.pmod(F.shiftright(key, 32).bitwiseXOR(F.shiftright(key, 11)), F.lit(BITS))
+        first = F.pmod(key, F.lit(self.bits))
+        second = F.pmod(F.shiftright(key, 32).bitwiseXOR(F.shiftright(key, 11)), F.lit(self.bits))
         place = members.select(F.explode(F.array(first, second)).alias("at")).select((F.col("at") + 1).alias("at"))
         rows = (
             place.groupBy(F.bitmap_bucket_number("at").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
             .collect()
         )
-        self.map = np.zeros(BITS // 8, dtype=np.uint8)
+        self.map = np.zeros(self.bits // 8, dtype=np.uint8)
         for r in rows:
             at = (r.bucket - 1) * (BUCKET // 8)
             self.map[at : at + BUCKET // 8] = np.frombuffer(r.bits, dtype=np.uint8)
@@ -38,10 +40,10 @@ class Bloom:
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Mask of the 64-bit keys that may be members."""
         k = keys.view(np.int64)
-        first = k & (BITS - 1)
+        first = k & (self.bits - 1)
         found = ((self.map[first >> 3] >> (first & 7).astype(np.uint8)) & 1).astype(bool)
         where = np.flatnonzero(found)
         k = k[where]
-        second = ((k >> 32) ^ (k >> 11)) & (BITS - 1)
+        second = ((k >> 32) ^ (k >> 11)) & (self.bits - 1)
         found[where] = ((self.map[second >> 3] >> (second & 7).astype(np.uint8)) & 1).astype(bool)
         return found

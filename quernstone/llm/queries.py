@@ -145,6 +145,18 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de
 
 #: What DuckDB says for the queries that SQL can express.
 SQL = {
+    "op8_rlz_substring_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, unnest(list_transform(range(1, len(words) - 18), lambda k: md5(array_to_string(words[k:k + 19], ' ')))) AS h
+  FROM t WHERE len(words) >= 20
+), f AS (SELECT h, min(struct_pack(d := doc_id, i := i)) AS first FROM w GROUP BY h),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS place FROM w JOIN f USING (h) WHERE struct_pack(d := doc_id, i := i) > first),
+k AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM t),
+j AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM k ANTI JOIN c USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN j USING (doc_id)
+""",
     "op5_url_language_model": _url_sql(),
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, url FROM pages),

@@ -1,40 +1,42 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is parsed against all text that starts earlier (smaller doc_id, or earlier in
-the same document).  A factor is a run of words that stands word for word in that reference;
-the parse is greedy, from left to right, each factor as long as its reference goes on.
-Factors of ``window`` words or more are duplicate spans.  Where one factor ends and the next
-begins, the windows across the boundary are looked up like all others, so a stretch whose
-reference lies elsewhere is found too, and what is removed is exactly the union of all
-windows that start earlier.
-
-The reference is indexed in blocks (partitions by window hash), against all of which each
-document is held:
-
-1. Anchors.  Of the 10-word grams in a window, that with the least hash is the window's
+The reference of a document is all text that starts earlier (smaller doc_id, or earlier in the same
+document).  It is held as an index of windows and as blocks of words:
+
+1. Anchors.  Of the 10-word grams in a window of 20 words, that with the least hash is the window's
    anchor; equal windows have equal anchors.  Anchor hashes are counted (map-side first);
-   those that occur twice go to a Bloom filter of fixed size.  About one word in six starts
+   those that occur twice go to a Bloom filter of bounded size.  About one word in six starts
    an anchor.
-2. Windows whose anchor may be repeated are hashed to 96 bits.  Each run of texts settles its
-   own repeats and sends on only the earliest place of each hash, so a passage in a third of
-   all documents sends one row for each run, not for each copy.
-3. A block of the index is sorted by (hash, doc_id, start) and scanned as a stream: all but
-   the earliest place are repeats.  No group is ever held.
-4. Per document, its repeated windows are parsed into factors and the words covered go.
-
-Beyond about 30 M repeated anchors the filter lets unrepeated anchors pass and step 2 sends
+2. Index.  Windows whose anchor may be repeated are hashed to 96 bits and sorted by (hash, doc_id, start), in
+   partitions by hash, which are scanned as streams: each but the earliest place refers to that one.
+   No group is ever held.  Each run of texts settles its own repeats and sends on only the earliest place of each
+   hash, so a passage in a third of all documents sends one row for each run, not for each copy.
+3. Blocks.  The text that is referred to is cut into blocks of BLOCK words (and the rest of the window
+   that starts last in it); only blocks that a document refers to are made, and each goes to the documents that need it.
+4. Parse.  A document is factored from left to right.  At the next word whose window the index knows,
+   the factor goes on word for word along the block it refers to, as long as the words are equal; the next factor
+   begins where it ends.  At the boundary, the windows that begin inside the factor and end
+   beyond it are checked: where the words of one equal its own reference's, the next factor follows that from the
+   boundary on.  Factors hold ``window`` words or more, or belong to a stretch of that many which crosses a boundary;
+   all their words go.
+
+So what goes is exactly the union of all windows that start earlier, and each was compared word for word.
+Texts without repeated windows aren't shuffled.
+
+Beyond some 20 M repeated anchors the filter lets unrepeated ones pass and step 2 sends
 more windows, at most one for each word; results stay the same.
 
 Defined results: null text counts as empty; empty texts and texts under ``window`` words keep
-all words; a null doc_id sorts after all others, and of rows without one each different text is a document
-of its own; rows that share a doc_id are one document (equal starts are not earlier, so repeated
-rows keep their first copies), and what is a repeat in one of them goes from all; an empty table
+all words; a null doc_id sorts after all others (which are under 2**62), and of rows without one each different text is a document
+of its own; rows that share a doc_id are one document with several texts: equal starts are not earlier, so repeated
+rows keep their first copies, and each text loses only words of its own; an empty table
 gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +45,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bits import Bloom
+from .scratch import stored
 from .wordhash import NOT_SPACE, U64, Words, as_long, mix, text_runs
 
 WINDOW = 20
 RUN_BYTES = 8 << 20
+BLOCK = 128
 _K = [U64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 #: Documents without an id are numbered by their text, from here on.
-_UNNAMED = (1 << 63) - (1 << 40)
+_UNNAMED = 1 << 62
 
 
 def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -204,7 +208,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _number() -> Column:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 40)))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNNAMED) + F.xxhash64(text).bitwiseAND(F.lit(_UNNAMED - 1)))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -219,46 +223,85 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return blocks.mapInArrow(_scan, "doc long, start int, ref_doc long, ref_start int, n int")
 
 
-def parse(start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, ref_doc, ref_start) of one document from its repeated windows."""
-    order = np.argsort(start, kind="stable")
-    start, ref_doc, lag = start[order], ref_doc[order], (start - ref_start)[order]
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (start[1:] != start[:-1] + 1) | (ref_doc[1:] != ref_doc[:-1]) | (lag[1:] != lag[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return [(int(start[a]), int(start[b] - start[a]) + window, int(ref_doc[a]), int(start[a] - lag[a])) for a, b in zip(first, last, strict=True)]
+def _along(window: int):
+    """Repeated windows of documents (each batch's sorted anew) as runs along the same reference."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start, ref_doc, ref_start, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+            order = np.lexsort((start, start - ref_start, ref_doc, doc))
+            doc, start, ref_doc, ref_start, n = (x[order] for x in (doc, start, ref_doc, ref_start, n))
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (start[1:] - start[:-1] != n[:-1]) | (ref_start[1:] - ref_start[:-1] != n[:-1])
+            first = np.flatnonzero(new)
+            if len(first):
+                sums = np.add.reduceat(n, first)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], start[first], ref_doc[first], ref_start[first], sums)], ["doc", "start", "ref_doc", "ref_start", "n"])
+
+    return go
 
 
-def _unpacked(spans: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, reference document and reference start of each repeated window of a document."""
-    at = spans.field("at")
-    count = np.diff(at.offsets.to_numpy())
-    at = at.flatten()
-    n = at.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-    begin = np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(at.field("start").to_numpy(zero_copy_only=False).astype(np.int64), n) + np.arange(len(begin)) - begin
-    ref_doc, lag = (np.repeat(np.repeat(spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64), count), n) for c in ("ref_doc", "lag"))
-    return start, ref_doc, start - lag
+def _blocks(window: int, size: int, wanted):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value.probe(as_long(mix(batch.column(1).to_numpy().view(U64))))))
+            texts = batch.column(0).cast(pa.large_binary())
+            for doc, text in zip(batch.column(1).to_pylist(), texts, strict=True):
+                words = (text.as_py() or b"").split()
+                parts = [b" ".join(words[a : a + size + window - 1]) for a in range(0, len(words), size)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["ref_doc", "block", "words"])
 
+    return go
 
-def _cut(window: int, with_text: bool):
+
+def parse(words: list[bytes], runs: list[tuple[int, int, int, int]], blocks: dict[tuple[int, int], list[list[bytes]]], window: int, size: int = BLOCK) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, ref_doc, ref_start) of one document, in order and apart.
+
+    ``runs``: n windows in a row, from ``start`` on, that stand at ``ref_start`` of ``ref_doc``, as (start, n, ref_doc, ref_start);
+    ``blocks``: the words of block ``ref_start // size`` of each reference (several lists, if several texts share its id)."""
+    windows = sorted((start + i, ref_doc, ref_start + i) for start, n, ref_doc, ref_start in runs for i in range(n))
+    starts = [w[0] for w in windows]
+    factors: list[tuple[int, int, int, int]] = []
+    end = at = 0
+    while at < len(windows):
+        start, ref_doc, ref_start = windows[at]
+        block, begin = divmod(ref_start, size)
+        most = 0
+        for other in blocks.get((ref_doc, block), ()):
+            n = min(len(words) - start, len(other) - begin)
+            if n < window or words[start : start + window] != other[begin : begin + window]:
+                continue
+            k = window
+            while k < n and words[start + k] == other[begin + k]:
+                k += 1
+            most = max(most, k)
+        at += 1
+        if start + most > end and most:
+            a = max(start, end)  # a boundary window's stretch goes on from the boundary
+            factors.append((a, start + most - a, ref_doc, ref_start + a - start))
+            end = start + most
+            at = max(at, bisect_right(starts, end - window))
+    return factors
+
+
+def _cut(window: int, size: int, with_text: bool):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
-            spans = batch.column("spans")
+            runs = batch.column("runs") if "runs" in batch.schema.names else None
             rows: list[tuple] = []
             for i in range(len(batch)):
                 text = texts[i].as_py() or b""
                 words = text.split()
                 n, kept, factors = len(words), text, []
-                if spans[i].is_valid:
-                    factors = parse(*_unpacked(spans[i].values), window)
-                    gone = np.zeros(n + 1, dtype=np.int32)
+                if runs is not None and runs[i].is_valid:
+                    blocks: dict[tuple[int, int], list[list[bytes]]] = {}
+                    for b in batch.column("blocks")[i].as_py() or ():
+                        blocks.setdefault((b["ref_doc"], b["block"]), []).append(b["words"].split())
+                    factors = parse(words, [(r["start"], r["n"], r["ref_doc"], r["ref_start"]) for r in runs[i].as_py()], blocks, window, size)
+                    keep = np.ones(n, dtype=bool)
                     for at, length, _, _ in factors:
-                        gone[min(at, n)] += 1
-                        gone[min(at + length, n)] -= 1
-                    keep = np.cumsum(gone[:n]) == 0
+                        keep[at : at + length] = False
                     if with_text:
                         kept = _without(text, keep)
                     words = [words[j] for j in np.flatnonzero(keep)]
@@ -274,6 +317,27 @@ def _cut(window: int, with_text: bool):
     return go
 
 
+def _members(known, inside: bool):
+    """Rows whose ``doc`` may be (isn't) in the filter."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = known.value.probe(as_long(mix(batch.column(batch.schema.get_field_index("doc")).to_numpy().view(U64))))
+            yield batch.filter(pa.array(found if inside else ~found))
+
+    return go
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """Distinct document numbers, scrambled for a Bloom filter."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(mix(batch.column(0).to_numpy().view(U64))))], ["key"])
+
+    return docs.distinct().mapInArrow(go, "key long")
+
+
 def _without(text: bytes, keep: np.ndarray) -> bytes:
     """The text less the words not kept, each with the white space that follows it."""
     data = np.frombuffer(text, dtype=np.uint8)
@@ -282,22 +346,30 @@ def _without(text: bytes, keep: np.ndarray) -> bytes:
     return b"".join([text[: w.starts[0]] if len(keep) else text, *(text[w.starts[j] : to[j]] for j in np.flatnonzero(keep))])
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)
     and, ``with_text``, kept_text (white space as it was) and factors.  ``keep``: columns to carry along."""
-    # starts that share a reference and a distance are gathered first: a few bytes for each window
-    lag = (F.col("start") - F.col("ref_start")).alias("lag")
-    along = repeated_windows(docs, window).groupBy("doc", "ref_doc", lag).agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    spans = along.groupBy("doc").agg(F.collect_list(F.struct("ref_doc", "lag", "at")).alias("spans"))
+    sc = docs.sparkSession.sparkContext
+    found = repeated_windows(docs, window).repartition("doc").sortWithinPartitions("doc")
+    runs = stored(found.mapInArrow(_along(window), "doc long, start long, ref_doc long, ref_start long, n long"), "runs")
+    # blocks that are referred to, and who needs them
+    numbers = F.sequence(F.floor(F.col("ref_start") / block), F.floor((F.col("ref_start") + F.col("n") - 1) / block))
+    needs = runs.select("doc", "ref_doc", F.explode(numbers).alias("block")).distinct()
+    texts = docs.select(F.col("text").cast("string").alias("text"), _number().alias("doc"))
+    referred = sc.broadcast(Bloom(_mixed(runs.select("ref_doc")), "key"))
+    blocks = texts.mapInArrow(_blocks(window, block, referred), "ref_doc long, block long, words binary")
+    own = needs.join(blocks, ["ref_doc", "block"]).groupBy("doc").agg(F.collect_set(F.struct("ref_doc", "block", "words")).alias("blocks"))
+    spans = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("runs"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         *(F.col(c).alias(f"other_{c}") for c in keep), _number().alias("doc"),
     )
-    joined = rows.join(spans, "doc", "left").drop("doc")
+    repeating = sc.broadcast(Bloom(_mixed(runs.select("doc")), "key"))
+    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    some = rows.mapInArrow(_members(repeating, True), layout).join(spans, "doc", "left").join(own, "doc", "left")
     others = "".join(f", `other_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = joined.mapInArrow(
-        _cut(window, with_text),
-        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start: long, n_words: long, ref_doc_id: long, ref_start: long>>" + others,
-    )
+    result = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start: long, n_words: long, ref_doc_id: long, ref_start: long>>" + others
+    go, rest = _cut(window, block, with_text), _members(repeating, False)
+    out = rows.mapInArrow(lambda batches: go(rest(batches)), result).union(some.mapInArrow(go, result))
     out = out if with_text else out.drop("kept_text", "factors")
     return out.withColumnsRenamed({f"other_{c}": c for c in keep})

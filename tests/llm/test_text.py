@@ -71,27 +71,53 @@ def test_substring_dedup_is_exact(spark):
     got = rlz.dedup(docs, window=8)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=str) == brute_spans(rows, 8)
     for r in got.where("n_removed > 0").collect():
-        assert all(f.n_words >= 8 for f in r.factors)
+        assert sum(f.n_words for f in r.factors) == r.n_removed
         assert len(r.kept_text.split()) == r.n_words - r.n_removed
     assert rlz.dedup(docs.limit(0)).count() == 0
 
 
 def test_parse_is_greedy():
-    start, ref, at = np.array([3, 4, 5, 9]), np.array([1, 1, 2, 2]), np.array([0, 1, 7, 20])
-    assert rlz.parse(start, ref, at, 20) == [(3, 21, 1, 0), (5, 20, 2, 7), (9, 20, 2, 20)]
-
-
-def test_bpe_equals_the_library(spark):
-    contents = bpe.tokenizer_file("word_bpe_49k.json")
-    texts = [*ODD, "It's  we'll\n\n x", "e \u0301 a\u0301", "İstanbul ΣΑΣ", "don 't I 'll ' s", "one two three " * 400]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("ids", F.lit("clash"))
-    t = bpe.Encoder(contents).tokenizer
-    for r in bpe.encode(docs, contents).collect():
-        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        text = t.decode(ids, skip_special_tokens=False)
-        assert (r.ids, r.decoded, r.n_tokens) == (ids, text, len(ids))
-        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    assert bpe.encode(docs.limit(0), contents).count() == 0
+    """The first factor goes on beyond the windows that refer to its document; then the boundary window's reference follows."""
+    a, b = [f"a{i}".encode() for i in range(30)], [f"b{i}".encode() for i in range(9)]
+    words = [b"x", *a, *b, b"y"]
+    blocks = {(1, 0): [a], (2, 0): [a[5:] + b]}
+    runs = [(1, 3, 1, 0), (4, 3, 1, 3), (6, 14, 2, 0), (7, 4, 1, 6)]
+    assert rlz.parse(words, runs, blocks, 20, 128) == [(1, 30, 1, 0), (31, 9, 2, 25)]
+    assert rlz.parse(words, [(2, 1, 2, 0)], blocks, 20, 128) == []  # words that aren't equal are no factor
+
+
+def test_substring_dedup_of_shared_ids_and_alike_words(spark):
+    a, c = " ".join(f"a{i}" for i in range(25)), " ".join(f"c{i}" for i in range(25))
+    rows = [(1, a), (2, a), (2, c), (2, "q " + a), (None, c), (None, c), (None, "x " + c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in rlz.dedup(docs).collect()), key=str)
+    assert got[:4] == [(1, 25, 0), (2, 25, 0), (2, 25, 25), (2, 26, 25)]
+    assert [g[:2] for g in got[4:]] == [(None, 25), (None, 25), (None, 26)] and {g[2] for g in got[4:]} == {25}
+    # long words whose polynomial hashes agree
+    t = "a"
+    for _ in range(10):
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{t} {rest}"), (2, f"{other} {rest}"), (3, f"{t} {rest}")]
+    got = sorted((r.doc_id, r.n_removed) for r in rlz.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_substring_dedup_over_blocks(spark):
+    """Long repeats cross many blocks and keep no word."""
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in r.integers(0, 10**6, 900)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[100:800])), (3, " ".join(["new", *base[300:450], *base[10:60], "end"])), (4, " ".join(base[:500] + base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rlz.dedup(docs, block=16)
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got.collect()) == brute_spans(rows, 20)
+    for x in got.collect():
+        ends = 0
+        for f in x.factors:
+            assert f.start >= ends
+            ends = f.start + f.n_words
+        assert sum(f.n_words for f in x.factors) == x.n_removed
 
 
 def encoded(e, texts, limit=20000):
