@@ -100,6 +100,53 @@ def test_one_shared_sample_is_enough(spark):
     assert of[200] == of[201] == 200
 
 
+def changed(r, words, share, in_block):
+    """The words with that share of them replaced, spread evenly or in one stretch."""
+    n = round(share * len(words))
+    at = r.randrange(len(words) - n + 1)
+    places = range(at, at + n) if in_block else r.sample(range(len(words)), n)
+    out = list(words)
+    for i in places:
+        out[i] = f"new{r.randrange(10**9)}"
+    return out
+
+
+def test_near_duplicates_are_found(spark):
+    """Recall against all pairs that are similar, at every share of changed words that the threshold allows."""
+    r = random.Random(12)
+    rows, pairs = [], {}
+    for share in (0.05, 0.10, 0.15, 0.19):
+        for in_block in (False, True):
+            for _ in range(100):
+                base = [f"w{r.randrange(20000)}" for _ in range(r.choice((60, 300)))]
+                copy = changed(r, base, share, in_block)
+                if omh.similar(*(np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in (base, copy)), 0.8):
+                    pairs.setdefault((share, in_block), []).append(len(rows))
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    of = dict(omh.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    found = {k: sum(of[i] == of[i + 1] for i in v) / len(v) for k, v in pairs.items()}
+    assert all(len(v) > 20 for v in pairs.values()) and min(found.values()) >= 0.9, found
+    assert sum(of[i] != i for i in of) == sum(of[i] == of[i + 1] for i in range(0, len(rows), 2))  # nothing else is joined
+
+
+def test_links_are_those_of_all_pairs(spark):
+    """Classes equal the components of all similar pairs, where a shared passage fills buckets with texts that are none."""
+    r = random.Random(13)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [passage + [f"w{r.randrange(10**6)}" for _ in range(40)] for _ in range(60)]
+    texts += [changed(r, texts[i], 0.05, False) for i in range(20)] + [changed(r, texts[i], 0.1, True) for i in range(20)]
+    r.shuffle(texts)
+    codes = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if omh.similar(codes[i], codes[j], 0.8):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    of = dict(omh.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect())
+    assert [of[i] for i in range(len(texts))] == want
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     item = [r.choice(WORDS) for _ in range(30)]
