@@ -169,7 +169,7 @@ def test_top_k_is_exact(spark, k):
     rng = np.random.default_rng(6)
     vectors = rng.normal(size=(400, 12)).round(2)
     vectors[50:80] = vectors[50]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, []), (902, [float("nan")] * 12), (903, [None] + [1.0] * 11), (904, [math.inf] * 12), (905, [1.0] * 5), (None, [1.0] * 12)]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, []), (902, [float("nan")] * 12), (903, [None] + [1.0] * 11), (904, [math.inf] * 12), (None, [1.0] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("label", F.lit(1))
     got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in pivot.top_k(df, F.col("vec_id") % 10 == 0, k=k, pivots=5, annuli=4, block=16).collect())
     q = np.floor(1024 * vectors).astype(np.int64)
@@ -183,6 +183,38 @@ def test_top_k_is_exact(spark, k):
     assert pivot.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0, k=k).count() == 2
 
 
+def test_top_k_of_odd_vectors(spark):
+    """Huge components, other lengths, empty vectors and shared ids: every row takes part, each as a row of its own."""
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 2)).round(2))]
+    rows += [(60, [5e12, 1.0]), (61, [-3e14, 2.0]), (62, [3.0]), (63, []), (64, [1.0, 2.0, 3.0]), (10, [0.5, 0.5]), (10, [0.5, 0.5]), (65, [1e308, 1.0]), (66, [1e15, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in pivot.top_k(df, F.col("vec_id") % 10 == 0, k=5, block=8).collect())
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i != 65]
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for a, (i, q) in enumerate(whole):
+        if i % 10 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(q, v, strict=False)), j) for b, (j, v) in enumerate(whole) if b != a)[:5]
+            want += [(i, n + 1, j, cut(-s)) for n, (s, j) in enumerate(scores)]
+    assert got == sorted(want)
+
+
+def test_top_k_stops_early(spark):
+    """In clusters, most annuli are never visited."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(25, 8))[rng.integers(0, 25, 2500)] + rng.normal(size=(2500, 8)) * 0.03
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    report: list = []
+    got = [(x.query_id, x.score) for x in pivot.top_k(df, F.col("vec_id") % 100 == 0, block=25, report=report).collect()]
+    q = np.floor(1024 * vectors).astype(np.int64)
+    scores = q[::100] @ q.T
+    scores[np.arange(25), np.arange(25) * 100] = np.iinfo(np.int64).min
+    assert sorted(got) == sorted((int(i) * 100, int(s)) for i in range(25) for s in np.sort(scores[i])[-10:])
+    assert len(report) > 1 and sum(report) < 0.4 * 25 * 2500, report
+
+
 def test_class_scores(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(WORDS[: r.choice((5, 50, 400))]) for _ in range(r.randint(0, 60)))) for i in range(200)]
