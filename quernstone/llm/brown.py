@@ -54,6 +54,8 @@ CLUSTERED = 1e-5
 #: Training tokens from which a word has a class of its own choice and not of its shape.
 LEAST = 2
 SHAPES = 8
+#: The end of a text among the numbers of its words: before those of the shapes, -SHAPES to -1.
+END = -1 - SHAPES
 BLOCK = 512
 WORD_PRIOR = 0.3
 CLASS_PRIOR = 2.0
@@ -117,10 +119,10 @@ def _encode(frequent):
                 keys, ptr = _keys_of_run(data, offsets)
                 at = f.find(keys)
                 rare = at < 0
-                ids = np.where(rare, -1 - (keys & 7), at).astype(np.int32)
+                ids = np.insert(np.where(rare, -1 - (keys & 7), at).astype(np.int32), ptr[1:], END)
                 rare_ptr = np.concatenate([[0], np.cumsum(rare)])[ptr]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(hi - lo)), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), binaries(ids, ptr), binaries(keys[rare], rare_ptr)],
+                    [pa.array(row + np.arange(hi - lo)), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), binaries(ids, ptr + np.arange(len(ptr))), binaries(keys[rare], rare_ptr)],
                     ["row", "doc_id", "held_out", "ids", "rare"],
                 )
                 row += hi - lo
@@ -142,26 +144,17 @@ class ClassMap:
         own = frequent.clustered >= 0
         table = shape.astype(np.int64)
         table[own] = assigned[frequent.clustered[own]]
-        #: Indexed by id + SHAPES, so that a rare word's -1 - shape is in range, too.
-        self.table = np.concatenate([classes + np.arange(SHAPES)[::-1], table])
+        #: Indexed by id less END, so that the end and a rare word's -1 - shape are in range, too.
+        self.table = np.concatenate([[self.end], classes + np.arange(SHAPES)[::-1], table])
 
     def of(self, ids: np.ndarray) -> np.ndarray:
-        return self.table[ids + SHAPES]
+        return self.table[ids - END]
 
 
 def _class_runs(column: pa.Array, classes: ClassMap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a column of texts in a row (the end token as the least int32), their classes, and the number of tokens of each text."""
-    ends = np.int32(-(2**31))
-    parts, lengths = [], []
-    for x in column:
-        ids = np.frombuffer(x.as_py(), dtype=np.int32)
-        parts += [ids, np.array([ends], dtype=np.int32)]
-        lengths.append(len(ids) + 1)
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    end = ids == ends
-    of = np.full(len(ids), classes.end)
-    of[~end] = classes.of(ids[~end])
-    return ids, of, np.array(lengths, dtype=np.int64)
+    """Ids of a column of texts in a row (with their ends), their classes, and the number of tokens of each text."""
+    ids, n = _flat(column, np.int32)
+    return ids, classes.of(ids), n
 
 
 def _before(of: np.ndarray, end: int) -> np.ndarray:
@@ -172,15 +165,16 @@ def _before(of: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _contexts(frequent, classes: ClassMap, with_words: bool):
-    """Each task's sums: the class matrix (block -1) and, for each block of clustered words, classes before and after."""
+def _contexts(frequent, classes: ClassMap, moving: np.ndarray):
+    """Each task's sums: the class matrix (block -1) and, for each block of the words that may move, classes before and after."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, k = frequent.value, classes.size
-        n = f.n_clustered if with_words else 0
+        f, k, n = frequent.value, classes.size, len(moving)
         matrix = np.zeros(k * k, dtype=np.int64)
         sides = np.zeros((2, n * k), dtype=np.int64)
-        number = np.concatenate([np.full(SHAPES, -1), f.clustered])
+        place = np.full(f.n_clustered + 1, -1)
+        place[moving] = np.arange(n)
+        number = np.append(np.full(-END, -1), place[f.clustered])
         for batch in batches:
             ids, of, _ = _class_runs(batch.column(0), classes)
             if not len(ids):
@@ -189,12 +183,11 @@ def _contexts(frequent, classes: ClassMap, with_words: bool):
             matrix += np.bincount(before * k + of, minlength=k * k)
             if not n:
                 continue
-            word = np.full(len(ids), -1)
-            real = of != classes.end
-            word[real] = number[ids[real] + SHAPES]
+            word = number[ids - END]
             own = np.flatnonzero(word >= 0)  # never the last: a text's last token is its end
-            sides[0] += np.bincount(word[own] * k + before[own], minlength=n * k)
-            sides[1] += np.bincount(word[own] * k + of[own + 1], minlength=n * k)
+            at = word[own] * k
+            sides[0] += np.bincount(at + before[own], minlength=n * k)
+            sides[1] += np.bincount(at + of[own + 1], minlength=n * k)
         blocks = [(-1, matrix)]
         for a in range(0, n, BLOCK):
             blocks.append((a // BLOCK, sides[:, a * k : min(n, a + BLOCK) * k].reshape(-1)))
@@ -219,8 +212,8 @@ def _summed(sums: DataFrame) -> DataFrame:
     return sums.groupBy("block", "part").applyInArrow(_added, _SUMS).groupBy("block").applyInArrow(_added, _SUMS)
 
 
-def _sums(encoded: DataFrame, frequent, classes: ClassMap, with_words: bool) -> DataFrame:
-    return _summed(encoded.where(~F.col("held_out")).select("ids").mapInArrow(_contexts(frequent, classes, with_words), _SUMS))
+def _sums(encoded: DataFrame, frequent, classes: ClassMap, moving: np.ndarray) -> DataFrame:
+    return _summed(encoded.where(~F.col("held_out")).select("ids").mapInArrow(_contexts(frequent, classes, moving), _SUMS))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -240,7 +233,7 @@ def best_class(now: int, before: np.ndarray, after: np.ndarray, matrix: np.ndarr
     return best if gain[best] > gain[now] + 1e-9 else now
 
 
-def _moves(assigned: np.ndarray, matrix: np.ndarray, classes: ClassMap, turn: int, share: int):
+def _moves(assigned: np.ndarray, matrix: np.ndarray, classes: ClassMap, moving: np.ndarray):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = classes.size
         for batch in batches:
@@ -248,9 +241,8 @@ def _moves(assigned: np.ndarray, matrix: np.ndarray, classes: ClassMap, turn: in
             for block, sums in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 sides = np.frombuffer(sums.as_py(), dtype=np.int64).reshape(2, -1, k).astype(np.float64)
                 for i in range(sides.shape[1]):
-                    w = block * BLOCK + i
-                    if (w + turn) % share == 0:
-                        out.append((w, best_class(int(assigned[w]), sides[0, i], sides[1, i], matrix, classes.classes)))
+                    w = int(moving[block * BLOCK + i])
+                    out.append((w, best_class(int(assigned[w]), sides[0, i], sides[1, i], matrix, classes.classes)))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int32()) for c in (0, 1)], ["word", "class"])
 
     return go
@@ -271,7 +263,8 @@ def cluster(encoded: DataFrame, frequent, n_words: int, by_count: np.ndarray, cl
     best, kept, share, idle = -1.0, assigned, 2, 0
     for turn in range(rounds if n_words > classes else 0):
         now = ClassMap(f, assigned, classes)
-        sums = stored(_sums(encoded, frequent, now, True), "contexts")
+        moving = np.flatnonzero((np.arange(n_words) + turn) % share == 0)
+        sums = stored(_sums(encoded, frequent, now, moving), "contexts")
         matrix = _matrix(sums, now.size)
         reached = mutual_information(matrix)
         if reached < best - 1e-12:  # words that moved at once spoiled each other's gain
@@ -283,12 +276,12 @@ def cluster(encoded: DataFrame, frequent, n_words: int, by_count: np.ndarray, cl
         best, kept = max(best, reached), assigned
         if idle > share:
             break
-        moves = sums.where("block >= 0").mapInArrow(_moves(assigned, matrix, now, turn, share), "word int, class int").toArrow()
+        moves = sums.where("block >= 0").mapInArrow(_moves(assigned, matrix, now, moving), "word int, class int").toArrow()
         assigned = assigned.copy()
         assigned[moves["word"].to_numpy()] = moves["class"].to_numpy()
     assigned = kept
     last = ClassMap(f, assigned, classes)
-    return last, _matrix(_sums(encoded, frequent, last, False), last.size)
+    return last, _matrix(_sums(encoded, frequent, last, np.zeros(0, np.int64)), last.size)
 
 
 def _matrix(sums: DataFrame, k: int) -> np.ndarray:
@@ -302,8 +295,13 @@ def _narrow(most: int) -> type:
 
 def _flat(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     """Values of a binary column one after the other, and how many each row has."""
-    parts = [np.frombuffer(x.as_py(), dtype=dtype) if x.is_valid else np.zeros(0, dtype) for x in column]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype), np.array([len(x) for x in parts], dtype=np.int64)
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if len(column) and data is not None and data.size else np.zeros(0, np.uint8)
+    return np.frombuffer(values.tobytes(), dtype=dtype), np.diff(at) // np.dtype(dtype).itemsize
 
 
 def _outside(frequent, classes: ClassMap):
@@ -311,11 +309,11 @@ def _outside(frequent, classes: ClassMap):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, k = frequent.value, classes.size
-        number = np.concatenate([np.full(SHAPES, -1), f.clustered])
+        number = np.append(np.full(-END, -1), f.clustered)
         for batch in batches:
             ids, of, _ = _class_runs(batch.column(0), classes)
             real = np.flatnonzero(of != classes.end)
-            own = real[number[ids[real] + SHAPES] < 0]
+            own = real[number[ids[real] - END] < 0]
             if not len(own):
                 continue
             keys = np.empty(len(own), dtype=np.int64)
@@ -521,7 +519,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, classes: int = CLASSE
 
     outside = stored(outside_classes(encoded, shared, class_map, matrix), "outside")
     between = outside.where(F.col("n") >= least).select("key", "class").toArrow()  # at most 1 / FREQUENT rows, too
-    class_map.table[SHAPES + frequent.find(between["key"].to_numpy())] = between["class"].to_numpy()
+    class_map.table[frequent.find(between["key"].to_numpy()) - END] = between["class"].to_numpy()
     k = class_map.size
     in_class, kinds = np.zeros(k), np.zeros(k)
     of = class_map.of(own)
@@ -531,7 +529,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, classes: int = CLASSE
         in_class[r["class"]] += r.n
         kinds[r["class"]] += r.v
     below = np.log10(in_class + WORD_PRIOR * (kinds + 1))
-    model = ClassModel(class_map, np.log10(n + WORD_PRIOR) - below[class_map.table[SHAPES:]], np.log10(n + 1.0), below, ends)
+    model = ClassModel(class_map, np.log10(n + WORD_PRIOR) - below[class_map.table[-END:]], np.log10(n + 1.0), below, ends)
     sums = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     local = encoded.mapInArrow(_local(sc.broadcast(model)), f"row long, {sums}, codes binary, slots binary")
     rare = encoded.select("row", "rare").mapInArrow(_rare_words, "key long, row long, slot int")

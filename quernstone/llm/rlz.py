@@ -206,7 +206,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _number() -> Column:
+def document_number() -> Column:
+    """The doc_id, or, where there is none, a hash of the text from 2**62 on."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNNAMED) + F.xxhash64(text).bitwiseAND(F.lit(_UNNAMED - 1)))
 
@@ -214,7 +215,7 @@ def _number() -> Column:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, start, ref_doc, ref_start, n): n windows of ``window`` words in a row, from ``start`` on, that also start earlier, and where."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"), _number().alias("doc"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), document_number().alias("doc"))
     counted = texts.select("text").mapInArrow(_anchor_counts(window), "anchor long, n int")
     repeated = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bloom = spark.sparkContext.broadcast(Bloom(repeated, "anchor"))
@@ -355,14 +356,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, keep: t
     # blocks that are referred to, and who needs them
     numbers = F.sequence(F.floor(F.col("ref_start") / block), F.floor((F.col("ref_start") + F.col("n") - 1) / block))
     needs = runs.select("doc", "ref_doc", F.explode(numbers).alias("block")).distinct()
-    texts = docs.select(F.col("text").cast("string").alias("text"), _number().alias("doc"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), document_number().alias("doc"))
     referred = sc.broadcast(Bloom(_mixed(runs.select("ref_doc")), "key"))
     blocks = texts.mapInArrow(_blocks(window, block, referred), "ref_doc long, block long, words binary")
     own = needs.join(blocks, ["ref_doc", "block"]).groupBy("doc").agg(F.collect_set(F.struct("ref_doc", "block", "words")).alias("blocks"))
     spans = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("runs"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        *(F.col(c).alias(f"other_{c}") for c in keep), _number().alias("doc"),
+        *(F.col(c).alias(f"other_{c}") for c in keep), document_number().alias("doc"),
     )
     repeating = sc.broadcast(Bloom(_mixed(runs.select("doc")), "key"))
     layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
