@@ -3,6 +3,12 @@
 Every stage takes all documents its predecessor kept and returns documents in the same columns
 (the last: the encoded documents).  ``run`` writes each stage's result to the folder that
 the executors share and reads it again for the next.
+
+Defined results of every stage: an empty table gives an empty result; null text counts as empty; columns beyond those
+of documents are dropped, whatever their names; texts are read whole.  A document without an id is known by its text
+(its number is a hash of it), so its copies are copies of one document.  Rows that repeat or share an id:
+quality and encode judge each row by its text; near_dedup keeps one row of an id (the least by text, then the other columns);
+substring_dedup cuts each row's own text; decontaminate drops an id's rows if any of their texts overlaps an item.
 """
 
 from __future__ import annotations
@@ -24,12 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rulefit.scored(docs, model, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with their number: the id, or a hash of the text (beyond 2**62) where there is none."""
+    return docs.select(*COLUMNS, rlz.document_number().alias("number"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near duplicates; all with a null doc_id."""
+    """The document with the least number of each class of near duplicates, one row of it."""
     ship_package(spark)
-    firsts = omh.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    rows = _numbered(docs)
+    firsts = omh.classes(rows.select(F.col("number").alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias("number")).distinct()
+    one = rows.join(firsts, "number", "left_semi").groupBy("number").agg(F.min(F.struct("text", "doc_id", *COLUMNS[2:])).alias("row"))
+    return one.select(*[F.col(f"row.{c}").alias(c) for c in COLUMNS])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +55,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
     ship_package(spark)
-    found = decontam.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(docs)
+    found = decontam.overlaps(rows.select(F.col("number").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("number")).distinct(), "number", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +74,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: No stage but the third can be said in SQL; tests hold each stage against a brute-force version.
+#: A trained model, sampled candidates and a tokenizer can't be said in SQL.
 ORACLE_SQL = None
 
 
