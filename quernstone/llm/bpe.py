@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .wordhash import NOT_SPACE, U64, mix, ragged, span_hashes, text_runs
 
 CHUNK_PIECES = 32
-RUN_BYTES = 4 << 20
-TABLE_PIECES = 600_000
-TABLE_CHUNKS = 60_000
+RUN_BYTES = 1 << 20
+TABLE_PIECES = 400_000
+TABLE_CHUNKS = 30_000
 _ROLL = [U64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(16)]
 #: Splitting patterns none of whose matches goes on from another character to white space.
 _PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
