@@ -10,7 +10,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,26 +43,30 @@ def _bytes_to_whole(n: int, kind: str) -> Callable[[Column], Column]:
 
 
 def _ieee(kind: str, dtype: str):
+    """Bytes of whole Arrow buffers are swapped at once; nulls stay in their bitmap, so NaN is a value like others."""
     width = np.dtype(dtype).itemsize
-
-    @F.pandas_udf("binary")
-    def encode(s: pd.Series) -> pd.Series:
-        raw = s.to_numpy(dtype=dtype, na_value=0).tobytes()
-        return pd.Series([None if null else raw[i * width : (i + 1) * width] for i, null in enumerate(s.isna())], index=s.index)
-
-    @F.pandas_udf(kind)
-    def decode(s: pd.Series) -> pd.Series:
-        ok = s.map(lambda b: b is not None and len(b) == width)
-        values = np.frombuffer(b"".join(s[ok]), dtype=dtype).astype(dtype[1:])
-        out = pd.Series([None] * len(s), index=s.index, dtype="object")
-        out[ok] = list(values)
-        return out.astype("Float64" if kind == "double" else "Float32")
+    number = pa.float64() if width == 8 else pa.float32()
+
+    @F.arrow_udf("binary")
+    def encode(a: pa.Array) -> pa.Array:
+        raw = np.frombuffer(a.buffers()[1], dtype=dtype[1:])[a.offset : a.offset + len(a)].astype(dtype) if len(a) else np.zeros(0, dtype)
+        fixed = pa.Array.from_buffers(pa.binary(width), len(a), [None, pa.py_buffer(raw.tobytes())])
+        return pc.if_else(a.is_valid(), fixed, pa.scalar(None, pa.binary(width))).cast(pa.binary())
+
+    @F.arrow_udf(kind)
+    def decode(a: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.binary_length(a), width), False)
+        fixed = pc.if_else(fits, a, pa.scalar(bytes(width), a.type)).cast(pa.binary(width))
+        at = fixed.offset * width
+        raw = np.frombuffer(fixed.buffers()[1], dtype=np.uint8)[at : at + len(fixed) * width] if len(fixed) else np.zeros(0, np.uint8)
+        values = pa.array(np.frombuffer(raw.tobytes(), dtype=dtype).astype(dtype[1:]), number)
+        return pc.if_else(fits, values, pa.scalar(None, number))
 
     return encode, decode
 
 
 def _lazy_ieee(kind: str, dtype: str, which: int) -> Callable[[Column], Column]:
-    # a pandas UDF asks for a session when it is made, so it is made on use
+    # a UDF asks for a session when it is made, so it is made on use
     return lambda c: _ieee(kind, dtype)[which](c)
 
 

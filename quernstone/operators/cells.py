@@ -1,7 +1,7 @@
 """The cell table, (row_key, family, qualifier, ts, value), and the shapes that turn into it and out of it.
 
-Reading nested rows repartitions by row_key once; picking the newest version and both levels of
-nesting then need no other exchange.
+Reading nested rows first picks the newest versions (combined before they are shuffled) and then repartitions
+those by row_key once, which serves both levels of nesting.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def nested(cells: DataFrame, columns: Mapping[str, Iterable[str]] | None = None,
 
     By ``columns``, every named family is there, if empty; by ``families``, only those with cells are."""
     wanted = has_column(columns) if columns is not None else has_column({f: None for f in families}) if families is not None else F.lit(True)
-    rows = latest(cells.where(wanted).repartition("row_key"))
+    rows = latest(cells.where(wanted)).repartition("row_key")
     value = decode(codec, F.col("value"))
     item = F.struct("qualifier", (F.struct(value.alias("value"), "ts") if with_ts else value).alias("value"))
     inner = rows.groupBy("row_key", "family").agg(F.map_from_entries(F.sort_array(F.collect_list(item))).alias("inner"))

@@ -70,3 +70,26 @@ def test_bloom(spark):
         got = {r.w: r.maybe for r in probe(probes, "w", filt, spec).collect()}
         b.BROADCAST_BITS = keep
         assert got["1"] and got["7"] and not got["aa"] and not got[None]
+
+
+def test_float_codecs_keep_every_value(spark):
+    import math
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from quernstone.functions import codecs
+
+    values = [1.5, -0.0, 0.0, math.inf, -math.inf, math.nan, None, 5e-324]
+    for kind, code in (("double", ">d"), ("float", ">f")):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}").repartition(2)
+        rows = df.select("i", codecs.encode(kind, F.col("v")).alias("b")).select("i", "b", codecs.decode(kind, F.col("b")).alias("v")).collect()
+        for r in rows:
+            want = values[r.i]
+            assert (r.b is None) == (r.v is None) == (want is None)
+            if want is not None:
+                assert struct.unpack(code, r.b)[0] == r.v or math.isnan(want) and math.isnan(r.v)
+                assert math.isnan(want) or struct.pack(code, want) == bytes(r.b)
+        bad = spark.createDataFrame([(b"\x00",), (None,), (b"",)], "b binary").select(codecs.decode(kind, F.col("b")).alias("v"))
+        assert [r.v for r in bad.collect()] == [None] * 3
+        assert df.limit(0).select(codecs.encode(kind, F.col("v"))).count() == 0
