@@ -123,7 +123,8 @@ def get_or_default(m: Column, k: Column, default: Column) -> Column:
 
 
 def put_all(m: Column, other: Column) -> Column:
-    """Entries of both, those of ``other`` counting."""
+    """Entries of both, those of ``other`` counting; its entries without a value aren't put."""
+    other = F.map_filter(other, lambda k, v: v.isNotNull())
     keys = F.map_keys(other)
     return F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(keys, k)), other)
 
