@@ -6,7 +6,7 @@ those by row_key once, which serves both levels of nesting.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,8 +70,10 @@ def from_nested(df: DataFrame, data: str = "data", key: str = "row_key", ts: Col
     return _versioned(rows, F.col("v"), codec, versioned)
 
 
-def from_entities(df: DataFrame, fields: list[Field], key: str, ts: Column | int | None = None, skip_blank: bool = False) -> DataFrame:
-    """Entity rows to cells, one for each field that isn't null (nor blank, if ``skip_blank``)."""
+def from_entities(df: DataFrame, fields: list[Field], key: str, ts: Column | int | None = None, skip_blank: bool = False, hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Entity rows to cells, one for each field that isn't null (nor blank, if ``skip_blank``); ``hook`` is
+    applied to the entities before."""
+    df = hook(df) if hook is not None else df
     cells = F.array(*[F.struct(F.lit(f.family).alias("family"), F.lit(f.column).alias("qualifier"), encode(f.codec, F.col(f.name)).alias("value")) for f in fields])
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("row_key"), _version(ts).alias("ts"), F.explode(cells).alias("c"))
     rows = rows.select("row_key", "c.family", "c.qualifier", "ts", "c.value").where("value is not null")
@@ -108,12 +110,13 @@ def nested(cells: DataFrame, columns: Mapping[str, Iterable[str]] | None = None,
     return out
 
 
-def to_entities(cells: DataFrame, fields: list[Field], key: str = "row_key") -> DataFrame:
-    """One row per row key, one typed column per field, null where there is no cell."""
+def to_entities(cells: DataFrame, fields: list[Field], key: str = "row_key", hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per row key, one typed column per field, null where there is no cell; ``hook`` is applied to the entities read."""
     newest = []
     for f in fields:
         here = (F.col("family") == f.family) & (F.col("qualifier") == f.column)
         newest.append(F.max(F.when(here, F.struct("ts", "value"))).alias(f.name))
     wanted = has_column({family: [f.column for f in fields if f.family == family] for family in dict.fromkeys(f.family for f in fields)})
     rows = cells.where(wanted).groupBy("row_key").agg(*newest)
-    return rows.select(F.col("row_key").alias(key), *[decode(f.codec, F.col(f"{f.name}.value")).alias(f.name) for f in fields])
+    out = rows.select(F.col("row_key").alias(key), *[decode(f.codec, F.col(f"{f.name}.value")).alias(f.name) for f in fields])
+    return hook(out) if hook is not None else out

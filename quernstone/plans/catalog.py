@@ -662,3 +662,6 @@ def _(spark, d):
     lines = table(spark, d, "customer").select("c_custkey", csv.fields(csv.to_line(values)).alias("f"))
     return lines.select("c_custkey", F.size("f").alias("n"), F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("quoted"), F.get("f", F.lit(3)).alias("empty"))
 
+
+# queries that write and read back register themselves here, too
+from . import written  # noqa: E402, F401

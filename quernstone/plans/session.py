@@ -1,14 +1,28 @@
-"""Session helpers: shipping the package to executors."""
+"""Session helpers: shipping the package to executors, paths that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_local: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        folder = _local[0]
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:

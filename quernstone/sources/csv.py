@@ -68,7 +68,12 @@ def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """(file, entry, pos, fields) of every entry of zip files, one file in a task, line by line."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return unzipped(spark.read.format("binaryFile").load(path))
+
+
+def unzipped(files: DataFrame) -> DataFrame:
+    """The same of zip files at hand: (path, content)."""
+    files = files.select("path", "content")
     lines = files.mapInPandas(_unzipped, "file string, entry string, pos long, line string")
     return lines.select("file", "entry", "pos", fields(F.col("line")).alias("fields"))
 

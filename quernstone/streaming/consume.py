@@ -38,32 +38,33 @@ def pending_offsets(pushed: DataFrame) -> DataFrame:
     return pushed.groupBy(*PARTITION).agg(F.max_by("offset", "seq").alias("offset"))
 
 
-def contiguous_commit(finished: DataFrame, starts: DataFrame, window: int = 0) -> DataFrame:
+def _numbered(log: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """``nth``: each record's place (from 1) by offset within ``by``, counted in blocks of offsets so that no
+    task has to sort a whole topic."""
+    rows = log.withColumn("block", F.floor(F.col("offset") / F.lit(1 << 16)))
+    sizes = rows.groupBy(*by, "block").count()
+    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*by, "block").orderBy("offset", *order)
+    rows = rows.withColumn("nth", F.row_number().over(inside)).join(sizes, [*by, "block"])
+    return rows.withColumn("nth", F.col("nth") + F.col("before")).drop("block", "before")
+
+
+def contiguous_commit(finished: DataFrame, starts: DataFrame, window: int = 0, flush: bool = False) -> DataFrame:
     """How far each partition may be committed: its finished offsets from its start on without a gap.
 
-    ``starts``: (topic, partition, start).  Partitions whose start isn't finished, or with fewer than
-    ``window`` finished records from there on, have no row.  Offsets less their rank are constant along
-    a run without gaps, and only the first run's is the start itself."""
+    ``starts``: (topic, partition, start).  Partitions whose start isn't finished have no row, nor have those with
+    fewer than ``window`` finished records from there on, unless a consumer that stops asks to ``flush``.
+    Offsets less their rank are constant along a run without gaps, and only the first run's is the start itself."""
     todo = finished.select(*PARTITION, "offset").distinct().join(starts, PARTITION).where("offset >= start")
-    order = Window.partitionBy(*PARTITION).orderBy("offset")
-    runs = todo.withColumn("lag", F.col("offset") - F.row_number().over(order))
+    runs = _numbered(todo, PARTITION).withColumn("lag", F.col("offset") - F.col("nth"))
     out = runs.groupBy(*PARTITION, "start").agg(F.count("*").alias("n"), (F.max(F.when(F.col("lag") == F.col("start") - 1, F.col("offset"))) + 1).alias("commit"))
-    return out.where((F.col("n") >= window) & F.col("commit").isNotNull()).select(*PARTITION, "commit")
+    return out.where((F.col("n") >= (0 if flush else window)) & F.col("commit").isNotNull()).select(*PARTITION, "commit")
 
 
 def fixed_rate_commits(log: DataFrame, rate: int = 100) -> DataFrame:
-    """After every ``rate``-th record of a topic: where its partition then stands.
-
-    A topic's records are numbered within its partitions' order; a large topic is numbered by ranges
-    of its offsets so that no task has to sort it all."""
-    width = F.lit(1 << 16)
-    block = F.floor(F.col("offset") / width)
-    sizes = log.groupBy("topic", block.alias("block")).count()
-    before = Window.partitionBy("topic").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("topic", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("topic", "block").orderBy("offset", "partition")
-    rows = log.withColumn("block", block).withColumn("nth", F.row_number().over(inside)).join(sizes, ["topic", "block"])
-    rows = rows.withColumn("nth", F.col("nth") + F.col("before")).where(F.col("nth") % rate == 0)
+    """After every ``rate``-th record of a topic: where its partition then stands."""
+    rows = _numbered(log, ["topic"], "partition").where(F.col("nth") % rate == 0)
     return rows.select("topic", "partition", (F.col("offset") + 1).alias("commit"), "nth")
 
 
