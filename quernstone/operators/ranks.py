@@ -17,7 +17,8 @@ def sampled_splits(df: DataFrame, key: str, parts: int) -> list:
     """Up to parts - 1 keys that cut the table into ranges of about equal size."""
     ranges = df.select(key).repartitionByRange(parts, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first"))
     firsts = sorted(r["first"] for r in ranges.collect() if r["first"] is not None)
-    return sorted(set(firsts[1:]))
+    # neighbours are compared, as keys may be arrays
+    return [key for before, key in zip(firsts, firsts[1:], strict=False) if key != before]
 
 
 def range_of(key: Column, splits: list) -> Column:

@@ -421,12 +421,9 @@ def _parts(spark, d) -> DataFrame:
 @query("array_order", f"SELECT p_partkey, row_number() OVER (ORDER BY len({_WORDS}), {_WORDS}, p_partkey) AS number FROM part")
 def _(spark, d):
     size, elements = composite.collection_order(F.col("a"))
-    order = Window.partitionBy("size").orderBy(elements, "p_partkey")
-    rows = _parts(spark, d).withColumn("size", size)
-    # sizes are few: their counts give the number of rows before each
-    counts = rows.groupBy("size").count()
-    before = counts.select("size", F.coalesce(F.sum("count").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.withColumn("nth", F.row_number().over(order)).join(before, "size").select("p_partkey", (F.col("before") + F.col("nth")).alias("number"))
+    # one key that orders as both do: the size in ten digits, then the elements
+    key = F.concat(F.array(F.lpad(size.cast("string"), 10, "0")), elements)
+    return ranks.numbered(_parts(spark, d).select("p_partkey", key.alias("key")), "key", "p_partkey")[0].select("p_partkey", "number")
 
 
 @query("map_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_brand, p_partkey) AS number FROM part")
