@@ -1,31 +1,16 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only when that is
-unset (local tests) a temporary one is made.
+The folder is the one the session names in ``spark.checkpoint.dir``; only a local session
+without that setting (tests) uses a temporary one, any other is refused.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..plans.session import new_path
 
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder visible to the driver and every executor."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        folder = _own[0]
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["new_path", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
