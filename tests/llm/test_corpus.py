@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -159,11 +160,51 @@ def test_decontamination(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("region", F.lit("clash")).withColumn("item_id", F.lit(7))
     tests = spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit("clash"))
     got = sorted(((x.doc_id, x.item_id) for x in decontam.overlaps(docs, tests).collect()), key=str)
-    want = sorted([(d, i) for d in (0, 1, 4, 6, 53, None) for i in (1, 5)], key=str)
+    want = sorted([(d, i) for d in (0, 1, 4, 6, 53, None) for i in (1, 5)] + [(52, 3)], key=str)
     assert got == want
     assert decontam.overlaps(docs.limit(0), tests).count() == 0 and decontam.overlaps(docs, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_masks_reach_every_tolerated_change(n):
+    """Whichever words of an item (or of a window of 13) differ, some mask selects only others."""
+    masks = decontam.short_masks(n, 0.8) if n < decontam.WINDOW else decontam.MASKS
+    spans = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+    for differ in range(int(n * 0.2 + 1e-9) + 1):
+        for gone in combinations(range(n), differ):
+            assert any(span and not span & set(gone) for span in spans), gone
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Items of every length from one word on, with words replaced, held against a comparison along every diagonal."""
+    r = random.Random(11)
+    pad = lambda n: [f"p{r.randrange(10**6)}" for _ in range(n)]
+    items, docs = [(0, ""), (1, None)], [(0, ""), (1, None), (2, " ".join(pad(60)))]
+    for n in [*range(1, 17), 20, 31, 60]:
+        item = [f"q{n}x{r.randrange(50)}" for _ in range(n)]
+        items += [(len(items), " ".join(item)), (len(items) + 1, " ".join(item))]
+        for change in (0, 0.1, 0.15, 0.2, 0.25, 0.35):
+            text = [w if r.random() >= change else "other" for w in item]
+            docs += [(len(docs), " ".join(pad(r.randrange(20)) + text + pad(r.randrange(20))))]
+            docs += [(len(docs), " ".join(text[: r.randint(1, n)]))]
+    want = set()
+    for d, text in docs:
+        doc = np.array((text or "").split())
+        for i, words in items:
+            item = np.array((words or "").split())
+            need = min(decontam.WINDOW, len(item))
+            for lag in range(1 - len(doc), len(item)) if need else ():
+                lo, hi = max(0, -lag), min(len(doc), len(item) - lag)
+                if hi - lo >= need and decontam.best_window(doc[lo:hi] == item[lo + lag : hi + lag], need)[1] >= 0.8 * need - 1e-9:
+                    want.add((d, i))
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+    words, tests = ({k: (t or "").split() for k, t in rows} for rows in (docs, items))
+    for x in got:
+        a, b = words[x.doc_id][x.doc_start :][: x.n_words], tests[x.item_id][x.item_start :][: x.n_words]
+        assert x.n_same == sum(map(str.__eq__, a, b)) >= 0.8 * x.n_words - 1e-9
+
+
 @pytest.mark.parametrize("k", [3, 10])
 def test_top_k_is_exact(spark, k):
     rng = np.random.default_rng(6)
