@@ -19,7 +19,7 @@ from ..operators.scan import ScanSpec, scan
 from ..sources import csv, tables
 from ..streaming import consume, records
 from .catalog import _EVENTS, _GONE, _LOG, _ORDERS, _finished, _keys, _shown, query
-from .session import new_path
+from .session import new_path, ship_package
 from .tables import ORDER_FIELDS, event_cells, event_log, order_cells, order_entities, table
 
 # --- CSV files: a file (or zip entry) holds the customers of a nation, at most 2**20 keys of them
@@ -216,8 +216,8 @@ def _stream(spark, d):
     return events.select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
 
 
-def _consumed(spark, stream, handler):
-    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", new_path(spark, "progress"))
+def _consumed(spark, stream, handler, mode="append"):
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handler).option("checkpointLocation", new_path(spark, "progress"))
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
@@ -259,3 +259,19 @@ SELECT topic, "partition", max("offset") + 1 AS "commit" FROM g WHERE lag = -1 G
 def _(spark, d):
     """A stopping consumer commits what is finished though no window is full."""
     return consume.contiguous_commit(*_finished(spark, d), window=1 << 40, flush=True)
+
+
+@query("stream_commit_as_finished", f"""WITH {_LOG}, f AS (SELECT * FROM dense WHERE event_id % 97 <> 0),
+g AS (SELECT *, "offset" - row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") AS lag FROM f)
+SELECT topic, "partition", max("offset") + 1 AS "commit" FROM g WHERE lag = -1 GROUP BY topic, "partition\"""")
+def _(spark, d):
+    """Offsets that finish in three batches, out of order: the last commit of each partition."""
+    ship_package(spark)
+    finished, starts = _finished(spark, d)
+    offsets, path = new_path(spark, "finished"), new_path(spark, "commits")
+    # one file a batch, whose turn is its time of writing
+    for turn in (2, 0, 1):
+        finished.select("topic", "partition", "offset").where(F.col("offset") % 3 == turn).write.parquet(f"{offsets}/turn={turn}")
+    stream = spark.readStream.schema("topic string, partition int, offset long").option("maxFilesPerTrigger", 3).parquet(f"{offsets}/*")
+    _consumed(spark, consume.commit_as_finished(stream, starts), consume.once_per_batch(path, lambda batch: batch), "update")
+    return spark.read.parquet(path).groupBy("topic", "partition").agg(F.max("commit").alias("commit"))

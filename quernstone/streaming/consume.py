@@ -7,10 +7,13 @@ checkpoint; sinks are made exactly-once by the batch number.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQueryListener
 
 Handler = Callable[[DataFrame, int], None]
@@ -110,28 +113,42 @@ def once_per_batch(path: str, result: Callable[[DataFrame], DataFrame]) -> Handl
     return handle
 
 
-def commit_as_finished(spark: SparkSession, path: str, starts: DataFrame, window: int = 0) -> Handler:
-    """A handler that keeps finished offsets that wait for a gap and writes each batch's commits.
-
-    Each batch reads only the state of the batch before it: last commits and the offsets beyond them."""
-
-    def handle(batch: DataFrame, number: int) -> None:
-        old = f"{path}/state/batch={number - 1}"
-        if number:
-            state = spark.read.parquet(old)
-            began = state.where("offset is null").select(*PARTITION, F.col("start"))
-            waiting = state.where("offset is not null").select(*PARTITION, "offset")
-        else:
-            began, waiting = starts.select(*PARTITION, "start"), batch.sparkSession.createDataFrame([], "topic string, partition int, offset long")
-        finished = waiting.union(batch.select("topic", F.col("partition").cast("int"), F.col("offset").cast("long")))
-        commits = contiguous_commit(finished, began, window)
-        commits.write.mode("overwrite").parquet(f"{path}/commits/batch={number}")
-        commits = spark.read.schema("topic string, partition int, commit long").parquet(f"{path}/commits/batch={number}")
-        now = began.join(commits, PARTITION, "left").select(*PARTITION, F.coalesce("commit", "start").alias("start"))
-        left = finished.join(now, PARTITION).where("offset >= start").select(*PARTITION, "start", "offset")
-        now.select(*PARTITION, "start", F.lit(None).cast("long").alias("offset")).union(left).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
-
-    return handle
+def _merged(runs: np.ndarray) -> np.ndarray:
+    """Rows of (from, to): the runs put in order, those that touch or overlap made one."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    to = np.maximum.accumulate(runs[:, 1])
+    first = np.flatnonzero(np.append(True, runs[1:, 0] > to[:-1]))
+    return np.column_stack([runs[first, 0], to[np.append(first[1:], len(runs)) - 1]])
+
+
+def commit_as_finished(finished: DataFrame, starts: DataFrame, window: int = 0) -> DataFrame:
+    """``contiguous_commit`` of a stream: (topic, partition, commit) whenever a partition's commit moves (update mode).
+
+    The state of a partition is its last commit and the runs of finished offsets that wait for a gap, kept by Spark;
+    it grows with the gaps, not with the records.  ``window``: as many offsets must be finished beyond the commit."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        at, runs = int(parts[0]["start"].iloc[0]), np.zeros((0, 2), dtype=np.int64)
+        if state.exists:
+            at, lo, hi = state.get
+            runs = np.array([lo, hi], dtype=np.int64).T
+        for part in parts:
+            new = part["offset"].to_numpy(dtype=np.int64)
+            runs = np.concatenate([runs, np.column_stack([new, new + 1])[new >= at]])
+        runs = _merged(runs) if len(runs) else runs
+        moved = len(runs) and runs[0, 0] == at and (runs[:, 1] - runs[:, 0]).sum() >= window
+        if moved:
+            at, runs = int(runs[0, 1]), runs[1:]
+        state.update((at, runs[:, 0].tolist(), runs[:, 1].tolist()))
+        if moved:
+            yield pd.DataFrame({"topic": [key[0]], "partition": [key[1]], "commit": [at]})
+
+    rows = finished.select("topic", F.col("partition").cast("int").alias("partition"), F.col("offset").cast("long").alias("offset")).where("offset is not null")
+    rows = rows.join(starts.select("topic", F.col("partition").cast("int").alias("partition"), F.col("start").cast("long").alias("start")), PARTITION)
+    return rows.groupBy(*PARTITION).applyInPandasWithState(
+        step, "topic string, partition int, commit long", "at long, lo array<long>, hi array<long>", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 class IdleAlarm(StreamingQueryListener):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from quernstone.operators import replay
@@ -50,13 +51,23 @@ def test_stream_routes_and_commits(spark, tmp_path):
     q.awaitTermination()
     assert counted == {"a": 6, "rest": 3} and consume.metrics(q)["batch"] >= 0
     starts = spark.createDataFrame([("a", 0, 0), ("b", 0, 0)], "topic string, partition int, start long")
-    keep = consume.commit_as_finished(spark, f"file://{tmp_path}/offsets", starts)
-    q = stream().writeStream.foreachBatch(keep).option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = spark.read.parquet(f"file://{tmp_path}/offsets/commits").groupBy("topic").max("commit").collect()
+    path = f"file://{tmp_path}/commits"
+    writer = consume.commit_as_finished(stream(), starts).writeStream.outputMode("update").foreachBatch(consume.once_per_batch(path, lambda df: df))
+    writer.option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(path).groupBy("topic").max("commit").collect()
     assert dict(map(tuple, last)) == {"a": 6, "b": 3}
 
 
+def test_merged_runs():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        lo = r.integers(0, 40, r.integers(1, 12))
+        runs = np.column_stack([lo, lo + r.integers(1, 6, len(lo))])
+        got = consume._merged(runs)
+        assert {x for a, b in got for x in range(a, b)} == {x for a, b in runs for x in range(a, b)}
+        assert (got[1:, 0] > got[:-1, 1]).all()
+
+
 def test_failing_handler_fails_the_query(spark, tmp_path):
     log_of(spark, [("a", 0, 0, "k", "v")]).write.parquet(f"file://{tmp_path}/in/0")
 
