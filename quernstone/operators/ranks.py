@@ -7,6 +7,8 @@ passes through the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,16 @@ def sampled_splits(df: DataFrame, key: str, parts: int) -> list:
 
 
 def range_of(key: Column, splits: list) -> Column:
-    """Number of the range a key is in: how many split keys are at most the key."""
+    """Number of the range a key is in: how many split keys are at most the key (0 for a null key).
+
+    Two steps of about the root of their number: among every ``step``-th split key, then among those up to the next."""
     if not splits:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= key))
+    splits = sorted(splits)
+    step = math.isqrt(len(splits) - 1) + 1
+    at_most = lambda keys: F.size(F.filter(keys, lambda s: s <= key))
+    before = F.greatest(at_most(F.array(*map(F.lit, splits[::step]))) - 1, F.lit(0)) * step
+    return before + at_most(F.slice(F.array(*map(F.lit, splits)), before + 1, F.lit(step)))
 
 
 def numbered(df: DataFrame, key: str, *more: Column | str, parts: int = PARTS, name: str = "number") -> tuple[DataFrame, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,10 @@ def test_tables_in_the_catalog(spark, cells):
 def test_entities_unset_stay_null(cells):
     got = rows(to_entities(cells, [Field("a", "f"), Field("b", "g")]), "row_key", "a", "b")
     assert got[1:] == [("r2", "10", None), ("r3", "9", None)]
+
+
+def test_range_of_counts_split_keys(spark):
+    keys = spark.range(-2, 60).selectExpr("id AS k").union(spark.sql("SELECT CAST(null AS BIGINT)"))
+    for splits in ([], [7], [3, 3, 9], [9, 4, 30], list(range(0, 50, 2)), list(range(1, 38))):
+        got = keys.select("k", ranks.range_of(F.col("k"), splits).alias("n")).collect()
+        assert all(r.n == (0 if r.k is None else bisect_right(sorted(splits), r.k)) for r in got)
