@@ -98,6 +98,30 @@ def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    docs = _table(spark, sf_dir, "documents")
+    # a tenth of the texts is made periodic from some word on, for the contract
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    # the numbers are made once a row, and only there
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    a = F.when(n > 0, g % n)
+    p = 1 + F.floor((n - F.col("a")) / (3 + g % 8))
+    rows = rows.withColumn("a", a).withColumn("p", p)
+    looped = F.transform("words", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    rows = rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+    out = periodic.collapsed(rows).withColumn("best", periodic.strongest("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -167,6 +191,7 @@ FROM t LEFT JOIN j USING (doc_id)
 """,
     "op5_url_language_model": _url_sql(),
     "op11_weak_supervision": statements.supervision(),
+    "op12_periodic_runs": statements.periodic(),
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, url FROM pages),
 f AS (SELECT digest, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY digest)

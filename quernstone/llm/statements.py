@@ -45,3 +45,30 @@ m AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept FROM v, (SELECT good, g, b FROM m WHERE round = {rounds})
 """
+
+
+def periodic() -> str:
+    """Runs as islands of equal stretches of 16 words at one distance; of the runs of one stretch, that of the least distance."""
+    crc = crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")
+    return rf"""
+WITH {CRC.strip()},
+r AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, CASE WHEN doc_id IS NOT NULL THEN {crc} END AS h FROM documents, crc_table),
+k AS (SELECT *, h // 10 AS g, len(words) AS n FROM r),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM k),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS MATERIALIZED (SELECT doc_id, CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words FROM p),
+s AS MATERIALIZED (SELECT doc_id, unnest(range(len(words) - 15)) AS i, unnest(list_transform(range(len(words) - 15), lambda i: md5(array_to_string(words[i + 1:i + 16], ' ')))) AS h FROM t WHERE len(words) >= 24),
+q AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.h = y.h AND y.i > x.i),
+d AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+e AS (SELECT doc_id, min(i) AS start, count(*) + 15 + q AS length, q FROM d GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+f AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM e GROUP BY doc_id, start, length),
+b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_min(struct_pack(start, length, period), struct_pack(e := -length::DOUBLE / period, s := start, p := period)) AS best FROM f GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM f),
+w AS (SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS word FROM t),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
