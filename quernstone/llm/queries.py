@@ -122,6 +122,18 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import variants
+
+    def less(doc_id, run):
+        """For the contract: one in 199 (document, word) loses a letter."""
+        h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+        at = (h % F.length(run)).cast("int")
+        return F.when(h % 199 == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+    return variants.grouped(variants.vocabulary(_table(spark, sf_dir, "documents"), change=less)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -192,6 +204,7 @@ FROM t LEFT JOIN j USING (doc_id)
     "op5_url_language_model": _url_sql(),
     "op11_weak_supervision": statements.supervision(),
     "op12_periodic_runs": statements.periodic(),
+    "op13_spelling_variants": statements.variants(),
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, url FROM pages),
 f AS (SELECT digest, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY digest)

@@ -72,3 +72,27 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS star
   CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+def variants() -> str:
+    """Near words by what is left when one letter goes: at the same place of both (replaced), or one of them itself (added)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    utf8 = "flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))"
+    return rf"""
+WITH RECURSIVE {CRC.strip()},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), '{upper}', '{upper.lower()}') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS c FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, c, {crc32(utf8)} AS h FROM d, crc_table),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+x AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word
+  UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word
+), o AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(m, other), struct_pack(a := -m, b := other)) AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 5 * n THEN best.other END AS form, CASE WHEN best.m >= 5 * n THEN best.m END AS form_n FROM w LEFT JOIN o USING (word)),
+t AS (SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+l AS (SELECT word, arg_max(root, step) AS root FROM t GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN l USING (word)
+"""
