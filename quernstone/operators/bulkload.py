@@ -6,10 +6,13 @@ Row-group minima and maxima of the sorted files are what later row ranges prune
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import new_path, remove_path
+from ..sources import tables
 from .ranks import range_of, sampled_splits, tiles
 
 MOST_FILES = 32
@@ -63,3 +66,31 @@ def publish(spark: SparkSession, staging: str, table_path: str, name: str) -> No
                 fs.rename(f.getPath(), path(f"{to}/{name}-{f.getPath().getName()}"))
     finally:
         fs.delete(path(staging), True)
+
+
+def load_table(cells: DataFrame, table: str, load: str, splits: list, families: list[str], files_per_region: int = 1) -> bool:
+    """Load cells into a catalog table with partitions by family and load: all of them become visible at once, or none.
+
+    The files are written to a folder of this attempt, which nobody reads, in the place they stay; one statement to the
+    catalog then makes each family's folder the load's partition.  A load of this name that is there already is left as it
+    is (False), so a load may be tried again after any failure.  Cells of other families stay out."""
+    spark = cells.sparkSession
+    if any(p["load"] == load for p in tables.partitions(spark, table)):
+        return False
+    folder = new_path(spark, "load")
+    try:
+        placed(cells.where(F.col("family").isin(*families)), splits, files_per_region).select("row_key", "qualifier", "ts", "value", "family").write.partitionBy("family").parquet(folder)
+        tables.add_partitions(spark, table, [({"family": f, "load": load}, path) for f, path in _folders(spark, folder)])
+    except BaseException:
+        remove_path(spark, folder)
+        raise
+    return True
+
+
+def _folders(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(family, path) of the families written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory())
+    return [(unquote(n.split("=", 1)[1]), f"{folder}/{n}") for n in names if n.startswith("family=")]

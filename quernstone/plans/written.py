@@ -269,9 +269,9 @@ def _(spark, d):
     ship_package(spark)
     finished, starts = _finished(spark, d)
     offsets, path = new_path(spark, "finished"), new_path(spark, "commits")
-    # one file a batch, whose turn is its time of writing
+    # two files a batch, whose turn is their time of writing
     for turn in (2, 0, 1):
-        finished.select("topic", "partition", "offset").where(F.col("offset") % 3 == turn).write.parquet(f"{offsets}/turn={turn}")
-    stream = spark.readStream.schema("topic string, partition int, offset long").option("maxFilesPerTrigger", 3).parquet(f"{offsets}/*")
+        finished.select("topic", "partition", "offset").where(F.col("offset") % 3 == turn).repartition(2).write.parquet(f"{offsets}/turn={turn}")
+    stream = spark.readStream.schema("topic string, partition int, offset long").option("maxFilesPerTrigger", 2).parquet(f"{offsets}/*")
     _consumed(spark, consume.commit_as_finished(stream, starts), consume.once_per_batch(path, lambda batch: batch), "update")
     return spark.read.parquet(path).groupBy("topic", "partition").agg(F.max("commit").alias("commit"))

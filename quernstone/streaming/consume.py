@@ -104,8 +104,9 @@ def router(handlers: dict[str, Handler], default: Handler | None = None) -> Hand
 
 
 def once_per_batch(path: str, result: Callable[[DataFrame], DataFrame]) -> Handler:
-    """A handler that writes a batch's result with its offsets in one overwritten partition, so a batch
-    that is run again replaces itself."""
+    """A handler that writes a batch's result in one overwritten partition, so a batch that is run again replaces itself.
+
+    While it is replaced a reader may miss it; ``publish.exactly_once`` makes a batch visible in one step."""
 
     def handle(batch: DataFrame, number: int) -> None:
         result(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")

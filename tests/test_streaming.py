@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pytest
 
 from quernstone.operators import replay
-from quernstone.streaming import consume, records
+from quernstone.streaming import consume, publish, records, window
 
 
 def log_of(spark, rows):
@@ -103,3 +105,54 @@ def test_replay_from_any_snapshot_equals_full_replay(spark):
         assert got == [(c, v) for c, v, _ in want]
     run = replay.running(ops, block=4).collect()
     assert max(r.value for r in run if r.counter == "b") == 7 and len(run) == 27
+
+
+def _turns(spark, tmp_path, turns):
+    for i, offsets in enumerate(turns):
+        spark.createDataFrame([("t", p, o) for p, o in offsets], "topic string, partition int, offset long").coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("topic string, partition int, offset long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    return stream, spark.createDataFrame([("t", 0, 5), ("t", 1, 0)], "topic string, partition int, start long")
+
+
+def test_windows_commit_over_batches_and_what_waits_is_flushed(spark, tmp_path):
+    # partition 0 starts at 5: its gap at 6 closes in the last batch; repeats and offsets before the start change nothing
+    stream, starts = _turns(spark, tmp_path, [[(0, 7), (0, 5), (0, 5), (1, 3)], [(0, 2), (0, 8), (1, 0)], [(0, 6), (1, 0), (1, 5)]])
+    seen, checkpoint = {}, f"file://{tmp_path}/progress"
+
+    def keep(batch, number):
+        seen.setdefault(number, []).extend(sorted((r.partition, r.commit, r.why) for r in batch.collect()))
+
+    with window.state_store(spark):
+        q = window.windowed_commits(stream, starts, window=3).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert seen == {0: [], 1: [(0, 6, "window")], 2: [(0, 9, "window"), (1, 1, "window")]}
+    assert sorted(tuple(r) for r in window.waiting(spark, checkpoint).select("partition", "at", "lo", "hi").collect()) == [(0, 9, [], []), (1, 1, [3, 5], [4, 6])]
+    assert window.flushed(spark, checkpoint).collect() == []
+
+
+def test_state_store_is_put_back(spark):
+    before = spark.conf.get(window.PROVIDER)
+    with window.state_store(spark):
+        assert spark.conf.get(window.PROVIDER) == window.ROCKSDB
+    assert spark.conf.get(window.PROVIDER) == before
+
+
+def test_exactly_once_leaves_no_half_batch(spark):
+    name = f"published_{uuid.uuid4().hex}"
+    publish.create(spark, name, "topic string, records long")
+    rows = log_of(spark, [("a", 0, 4, "k", "v"), ("a", 1, 9, "k", "v")])
+    counted = lambda b: consume.counters(b, "topic")
+    folders = []
+
+    def dies(number):
+        folders.append(number)
+        raise ValueError("dies")
+
+    with pytest.raises(ValueError, match="dies"):
+        publish.exactly_once(name, counted, before_publish=dies)(rows, 0)
+    assert publish.batches(spark, name) == [] and publish.results(spark, name).collect() == []
+    handle = publish.exactly_once(name, counted)
+    for number in (0, 0, 1):
+        handle(rows, number)
+    assert publish.batches(spark, name) == [0, 1] and sorted(map(tuple, publish.results(spark, name).collect())) == [(0, "a", 2), (1, "a", 2)]
+    assert sorted(map(tuple, publish.positions(spark, name).collect())) == [("a", 0, 5), ("a", 1, 10)]
