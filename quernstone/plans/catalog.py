@@ -660,5 +660,5 @@ def _(spark, d):
     return lines.select("c_custkey", F.size("f").alias("n"), F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("quoted"), F.get("f", F.lit(3)).alias("empty"))
 
 
-# queries that write and read back, and those over streams, register themselves here, too
-from . import streams, written  # noqa: E402, F401
+# queries that write and read back, and those over streams and data sources, register themselves here, too
+from . import sources, streams, written  # noqa: E402, F401
