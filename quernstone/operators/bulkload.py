@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import new_path, remove_path
 from ..sources import tables
-from .ranks import range_of, sampled_splits, tiles
+from .ranks import filled_ranges, range_of, sampled_splits, tiles
 
 MOST_FILES = 32
 
@@ -41,6 +41,14 @@ def placed(cells: DataFrame, splits: list, files_per_region: int = 1) -> DataFra
     return rows.sortWithinPartitions("family", "row_key", F.encode("qualifier", "UTF-8"), F.desc("ts"))
 
 
+def placed_by(cells: DataFrame, splits: DataFrame, regions: int, files_per_region: int = 1) -> DataFrame:
+    """As ``placed``, with the split keys as a table (split) of any size; ``regions`` is one more than its rows."""
+    n = max(1, min(files_per_region, MOST_FILES))
+    rows = filled_ranges(cells, "row_key", splits)
+    rows = rows.repartitionById(regions * n, (F.col("region") * n + F.pmod(F.xxhash64("row_key"), F.lit(n))).cast("int"))
+    return rows.sortWithinPartitions("family", "row_key", F.encode("qualifier", "UTF-8"), F.desc("ts"))
+
+
 def bulk_load(cells: DataFrame, table_path: str, splits: list, families: list[str], files_per_region: int = 1) -> DataFrame:
     """Write cells of the table's families beside the table, then move them in; returns the loaded table."""
     spark = cells.sparkSession

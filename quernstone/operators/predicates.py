@@ -16,6 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import stable_hash
+from .ranks import keys_at
+
 
 @dataclass(frozen=True)
 class ValueFilter:
@@ -134,8 +137,13 @@ def same_version_as(family: str, qualifier: str) -> TableFilter:
 
 
 def page(n: int) -> TableFilter:
-    """The first n rows by key."""
-    return TableFilter(lambda cells: cells.join(cells.select("row_key").distinct().orderBy("row_key").limit(n), "row_key", "left_semi"))
+    """The first n rows by key: those up to the n-th key, which is found by rank (jobs that run at once)."""
+
+    def apply(cells: DataFrame) -> DataFrame:
+        (last,) = keys_at(cells, "row_key", [n])
+        return cells.where("false") if n < 1 else cells if last is None else cells.where(F.col("row_key") <= last)
+
+    return TableFilter(apply)
 
 
 def _in_row(cells: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
@@ -160,7 +168,7 @@ def key_only() -> TableFilter:
 
 def random_rows(fraction: float, seed: int = 0) -> CellFilter:
     """A share of all rows, by a hash of the key: a row stays or goes as a whole."""
-    return CellFilter(lambda: F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1 << 20)) < int(fraction * (1 << 20)))
+    return CellFilter(lambda: stable_hash(F.concat_ws(":", "row_key", F.lit(seed))) < int(fraction * (1 << 32)))
 
 
 def without_tested(test: ValueFilter) -> TableFilter:

@@ -60,3 +60,95 @@ def tiles(df: DataFrame, key: str, n: int, parts: int = PARTS) -> DataFrame:
     edge = larger * (size + 1)
     tile = F.when(at < edge, F.floor(at / F.lit(size + 1)) + 1).otherwise(F.lit(larger) + F.floor((at - edge) / F.lit(max(size, 1))) + 1)
     return rows.select(key, tile.cast("int").alias("tile"))
+
+
+# --- one pass: sketches instead of sorts
+
+#: Bytes of a key that a sketch sees, after those that all keys share; as a number they fit in a long.
+SKETCHED = 7
+
+
+def rank_error(k: int) -> float:
+    """How far a quantile of a KLL sketch may be off, as a share of the rows (99 % sure; from the sketch's definition)."""
+    return 2.296 / k**0.9723
+
+
+def _shared(low: bytes, high: bytes) -> int:
+    return next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+
+
+def sketched_splits(df: DataFrame, key: str, parts: int, k: int = 1024) -> list[str]:
+    """Up to parts - 1 texts that cut a table into ranges of about equal size, from one sketch.
+
+    Every task sketches its rows and the sketches are merged, so no key is shuffled.  A sketch holds numbers: the first seven bytes
+    after those that the least and the greatest key share.  A split is off by ``rank_error(k)`` of the rows, and by
+    those that agree in these bytes.  The splits need not be keys of the table."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None or low == high:
+        return []
+    same = _shared(low.encode(), high.encode())
+    part = F.rpad(F.substring(F.encode(F.col(key), "UTF-8"), same + 1, SKETCHED), SKETCHED, F.lit(b"\0"))
+    number = F.conv(F.hex(part), 16, 10).cast("long")
+    ranks = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    sketch = df.where(F.col(key).isNotNull()).agg(F.kll_sketch_agg_bigint(number, F.lit(k)).alias("sketch"))
+    found = sketch.select(F.kll_sketch_get_quantile_bigint("sketch", ranks)).first()[0] if parts > 1 else []
+    texts = ((low.encode()[:same] + x.to_bytes(SKETCHED, "big").rstrip(b"\0")).decode("utf-8", "ignore") for x in found)
+    return sorted({t for t in texts if t > low})
+
+
+def keys_at(df: DataFrame, key: str, numbers: list[int], parts: int = 256, small: int = 1 << 16) -> list[str | None]:
+    """The keys with these numbers (from 1) among the distinct keys in order; None beyond the last.
+
+    Selection by rank: distinct keys are counted by sketched ranges, and only the range that a number falls in is looked at again,
+    until it has at most ``small`` keys, which are put in order.  So a pass reads a ``parts``-th of the one before."""
+    first: tuple[DataFrame, list[str], list[int]] | None = None
+
+    def counted(rows: DataFrame) -> tuple[DataFrame, list[str], list[int]]:
+        splits = sketched_splits(rows, key, parts)
+        n = {r.at: r["count"] for r in rows.distinct().groupBy(range_of(F.col(key), splits).alias("at")).count().collect()}
+        return rows, splits, [n.get(i, 0) for i in range(len(splits) + 1)]
+
+    def search(nth: int) -> str | None:
+        rows, splits, counts = first
+        while True:
+            at = 0
+            while at < len(counts) and nth > counts[at]:
+                nth -= counts[at]
+                at += 1
+            if at == len(counts):
+                return None
+            part = rows
+            if at:
+                part = part.where(F.col(key) >= splits[at - 1])
+            if at < len(splits):
+                part = part.where(F.col(key) < splits[at])
+            if counts[at] <= small or counts[at] == sum(counts):
+                return part.distinct().orderBy(key).offset(nth - 1).limit(1).first()[0]
+            rows, splits, counts = counted(part)
+
+    first = counted(df.select(key).where(F.col(key).isNotNull()))
+    return [search(n) if n > 0 else None for n in numbers]
+
+
+def filled_ranges(df: DataFrame, key: str, splits: DataFrame, parts: int = 256, salts: int = 8, name: str = "region") -> DataFrame:
+    """The table with each row's range: how many of the distinct keys of ``splits`` (column split) are at most its key.
+
+    A sorted merge for any number of splits: rows and splits are dealt out by the same coarse ranges (``parts``, sketched),
+    put in order together, and each row takes the number of the last split before it.  Rows are salted, and splits go to
+    every salt, so a key or a range with many rows is met by ``salts`` tasks."""
+    coarse = sketched_splits(df, key, parts)
+    cuts = splits.select(F.col("split").alias(key)).where(F.col(key).isNotNull()).distinct()
+    cuts = cuts.withColumn("coarse", range_of(F.col(key), coarse))
+    n = {r.coarse: r["count"] for r in cuts.groupBy("coarse").count().collect()}
+    before, at = [], 0
+    for i in range(len(coarse) + 1):
+        before.append(at)
+        at += n.get(i, 0)
+    within = Window.partitionBy("coarse").orderBy(key)
+    cuts = cuts.withColumn("filled", F.row_number().over(within)).withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    rows = df.withColumns({"coarse": F.coalesce(range_of(F.col(key), coarse), F.lit(0)), "salt": F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"), "filled": F.lit(None).cast("int")})
+    both = rows.withColumn("is_row", F.lit(1)).unionByName(cuts.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy("coarse", "salt").orderBy(F.col(key).asc_nulls_first(), "is_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = F.coalesce(F.last("filled", ignorenulls=True).over(so_far), F.lit(0)) + F.get(F.array(*map(F.lit, before)), F.col("coarse"))
+    return both.withColumn(name, filled.cast("int")).where("is_row = 1").select(*df.columns, name)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .cells import CELL_KEY, Field, has_column, to_entities
 from .predicates import Filter, filtered
+from .ranks import keys_at
 
 
 @dataclass(frozen=True)
@@ -69,9 +70,13 @@ def entities(cells: DataFrame, spec: ScanSpec, fields: list[Field], key: str = "
 
 
 def row_page(cells: DataFrame, page_size: int, page_no: int) -> DataFrame:
-    """The cells of one page of rows by key; pages count from 1."""
-    keys = cells.select("row_key").distinct().orderBy("row_key").offset((page_no - 1) * page_size).limit(page_size)
-    return cells.join(keys, "row_key", "left_semi")
+    """The cells of one page of rows by key; pages count from 1.
+
+    The page's first and last key are found by rank, at any depth (jobs that run at once); the page is a range of keys."""
+    first, last = keys_at(cells, "row_key", [(page_no - 1) * page_size + 1, page_no * page_size])
+    if first is None or page_size < 1:
+        return cells.where("false")
+    return cells.where((F.col("row_key") >= first) & (F.lit(True) if last is None else F.col("row_key") <= last))
 
 
 def point_get(cells: DataFrame, row_key: str, fields: list[Field], columns: Mapping[str, list[str] | None] | None = None, filters: tuple[Filter, ...] = (), key: str = "row_key") -> DataFrame:

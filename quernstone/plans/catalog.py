@@ -245,7 +245,7 @@ def _(spark, d):
     return _shown(scan(event_cells(spark, d), ScanSpec(filters=(predicates.same_version_as("e", "purchase"),))))
 
 
-@query("filter_random_rows", None)
+@query("filter_random_rows", f"WITH {_ORDERS} SELECT * FROM oc WHERE CAST('0x' || substr(md5(row_key || ':0'), 1, 8) AS BIGINT) < 429496729")
 def _(spark, d):
     """A sampling filter: about a tenth of the rows, each as a whole."""
     return _shown(scan(order_cells(spark, d), ScanSpec(filters=(predicates.random_rows(0.1),))))
@@ -426,10 +426,11 @@ def _(spark, d):
     return ranks.numbered(_parts(spark, d).select("p_partkey", key.alias("key")), "key", "p_partkey")[0].select("p_partkey", "number")
 
 
-@query("map_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_brand, p_partkey) AS number FROM part")
+@query("map_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS number FROM part")
 def _(spark, d):
-    order = Window.partitionBy("p_size").orderBy(*composite.map_order(F.col("m")), "p_partkey")
-    return _parts(spark, d).select("p_partkey", F.row_number().over(order).cast("long").alias("number"))
+    size, keys = composite.map_order(F.col("m"))
+    key = F.concat(F.array(F.lpad(size.cast("string"), 10, "0")), keys)
+    return ranks.numbered(_parts(spark, d).select("p_partkey", key.alias("key")), "key", "p_partkey")[0].select("p_partkey", "number")
 
 
 @query("sorted_array", f"SELECT p_partkey, array_to_string(list_sort(list_distinct({_WORDS})), ' ') AS words FROM part")
@@ -607,11 +608,10 @@ def _(spark, d):
     return records.records(e, F.col("event_type"), F.col("props"), F.col("user_id"))
 
 
-@query("worker_dispatch", "SELECT count(*) AS n, true AS one_worker_each, true AS in_range FROM (SELECT DISTINCT user_id FROM events)")
+@query("worker_dispatch", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 8 AS INTEGER) AS worker, count(*) AS records FROM events GROUP BY user_id")
 def _(spark, d):
-    """Every key goes to one worker of eight."""
-    w = event_log(spark, d).select("key", consume.worker_of(F.col("key"), 8).alias("w")).groupBy("key").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
-    return w.agg(F.count("*").alias("n"), F.bool_and(F.col("lo") == F.col("hi")).alias("one_worker_each"), F.bool_and(F.col("lo").between(0, 7)).alias("in_range"))
+    """Every key's records go to one worker of eight."""
+    return event_log(spark, d).withColumn("worker", consume.worker_of(F.col("key"), 8)).groupBy("key", "worker").agg(F.count("*").alias("records"))
 
 
 @query("stream_counters", f"WITH {_LOG} SELECT topic, count(*) AS records, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM log GROUP BY topic")
@@ -661,4 +661,4 @@ def _(spark, d):
 
 
 # queries that write and read back, and those over streams and data sources, register themselves here, too
-from . import sources, streams, written  # noqa: E402, F401
+from . import ranked, sources, streams, written  # noqa: E402, F401

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..functions.hashing import stable_hash
+
 Handler = Callable[[DataFrame, int], None]
 CommitPolicy = Callable[[DataFrame], DataFrame]
 PARTITION = ["topic", "partition"]
@@ -81,8 +83,8 @@ def commits_by_topic(log: DataFrame, policies: dict[str, CommitPolicy], default:
 
 
 def worker_of(key: Column, n: int) -> Column:
-    """Which of n workers a record goes to."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    """Which of n workers a record goes to (those without a key to the first)."""
+    return F.pmod(F.coalesce(stable_hash(key.cast("string")), F.lit(0)), F.lit(n)).cast("int")
 
 
 def router(handlers: dict[str, Handler], default: Handler | None = None) -> Handler:
