@@ -1,13 +1,16 @@
-"""Queries by rank: deep pages, sketched splits, and regions by a table of split keys."""
+"""Queries by rank (deep pages, sketched splits, regions by a table of split keys), over bucketed stores, and a mapped filter."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import bulkload, ranks
+from ..operators import bloom, buckets, bulkload, ranks
 from ..operators.scan import count_rows, row_page
+from . import catalog
 from .catalog import _ORDERS, _shown, query
-from .tables import order_cells
+from .tables import event_cells, order_cells, table
 
 
 @query("scan_page_deep", f"WITH {_ORDERS}, k AS (SELECT row_key, row_number() OVER (ORDER BY row_key) - 1 AS n, count(*) OVER () AS rows FROM o) SELECT * FROM oc WHERE row_key IN (SELECT row_key FROM k WHERE n // 50 = (rows // 2) // 50)")
@@ -56,3 +59,40 @@ def _(spark, d):
     splits = _split_keys(cells, 499)
     placed = bulkload.placed_by(cells, splits, splits.count() + 1)
     return _shown(placed.withColumn("region", F.spark_partition_id())).withColumn("at", F.spark_partition_id())
+
+
+def _store(spark, cells):
+    name = f"store_{uuid.uuid4().hex}"
+    buckets.create(cells, name, 8)
+    return name
+
+
+@query("upsert_bucketed", catalog.oracle_sql()["upsert_latest"])
+def _(spark, d):
+    """Changes merged into a bucketed store, then the newest version of each cell."""
+    cells = order_cells(spark, d)
+    name = _store(spark, cells)
+    pending = (F.col("qualifier") == "status") & (F.decode("value", "UTF-8") == "P")
+    buckets.upsert(cells.where(pending).withColumn("ts", F.col("ts") + 1).withColumn("value", F.encode(F.lit("X"), "UTF-8")), name)
+    buckets.compact_store(spark, name)
+    return _shown(spark.table(name))
+
+
+@query("compact_versions", catalog.oracle_sql()["scan_max_versions"])
+def _(spark, d):
+    """The three newest versions of every cell of a bucketed store."""
+    name = _store(spark, event_cells(spark, d))
+    buckets.compact_store(spark, name, 3)
+    return _shown(spark.table(name))
+
+
+@query("bloom_mapped", "SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey = 7)")
+def _(spark, d):
+    """A filter whose elements are mapped first: segments in any case; what passes is held against the segments themselves."""
+    c = table(spark, d, "customer")
+    mapper = lambda e: F.lower(F.trim(e))
+    members = c.where("c_custkey = 7").select(F.lower("c_mktsegment").alias("segment"))
+    spec = bloom.BloomSpec(10)
+    rows = c.select("c_custkey", F.upper("c_mktsegment").alias("segment"))
+    maybe = bloom.probe(rows, "segment", bloom.build(members, "segment", spec, mapper), spec, mapper).where("maybe").drop("maybe")
+    return maybe.join(members.select(F.upper("segment").alias("segment")), "segment", "left_semi").select("c_custkey", "segment")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bulkload
 from ..sources import tables
-from ..streaming import consume, publish, window
+from ..streaming import consume, lifecycle, publish, window
 from .catalog import _LOG, _ORDERS, _finished, _shown, query
 from .session import new_path, ship_package
 from .tables import dense_log, order_cells
@@ -162,3 +162,15 @@ def _(spark, d):
     seen = spark.table(name).count()
     first, again = (bulkload.load_table(cells, name, "monday", splits, ["d", "m"], 2) for _ in range(2))
     return _shown(spark.table(name)).select("*", F.lit(seen).cast("long").alias("after_crash"), F.lit(first).alias("first"), F.lit(again).alias("again"))
+
+
+@query("stream_handler_life", f"""WITH {_LOG}, f AS (SELECT {_TURN} AS turn FROM dense) SELECT turn AS epoch, true AS all_closed, false AS failed, count(*) AS records FROM f GROUP BY turn""")
+def _(spark, d):
+    """Handlers opened and closed for each partition of every batch, and the records they were given."""
+    folder, notes = new_path(spark, "log"), new_path(spark, "notes")
+    _write(dense_log(spark, d), folder, range(TURNS))
+    writer = lifecycle.handled(_read(spark, folder), lambda: lifecycle.Counting(notes), new_path(spark, "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return lifecycle.notes(spark, notes).groupBy("epoch").agg(
+        (F.sum("opened") == F.sum("closed")).alias("all_closed"), F.bool_or(F.col("error").isNotNull()).alias("failed"), F.sum("records").alias("records")
+    )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from quernstone.operators import replay
-from quernstone.streaming import consume, publish, records, window
+from quernstone.streaming import consume, lifecycle, publish, records, window
 
 
 def log_of(spark, rows):
@@ -156,3 +156,65 @@ def test_exactly_once_leaves_no_half_batch(spark):
         handle(rows, number)
     assert publish.batches(spark, name) == [0, 1] and sorted(map(tuple, publish.results(spark, name).collect())) == [(0, "a", 2), (1, "a", 2)]
     assert sorted(map(tuple, publish.positions(spark, name).collect())) == [("a", 0, 5), ("a", 1, 10)]
+
+
+def test_handlers_live_and_fail_alone(spark, tmp_path):
+    for i in range(3):
+        log_of(spark, [("a", 0, o, "k", str(o)) for o in range(i * 10, i * 10 + 4)]).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = lambda: spark.readStream.schema("topic string, partition int, offset long, key string, value string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    start = lambda name, fails: lifecycle.handled(stream(), lambda: lifecycle.Counting(f"{tmp_path}/{name}", fails), f"file://{tmp_path}/progress-{name}").trigger(availableNow=True).start()
+    good, bad = start("good", None), start("bad", lambda r: r.offset == 12)
+    with pytest.raises(Exception, match="can't be handled"):
+        bad.awaitTermination()
+    good.awaitTermination()
+    notes = lambda name: sorted(map(tuple, lifecycle.notes(spark, f"file://{tmp_path}/{name}").select("epoch", "opened", "records", "closed").collect()))
+    assert notes("good") == [(0, 1, 4, 1), (1, 1, 4, 1), (2, 1, 4, 1)]
+    # the failing record's handler was shut down with its error, and no later epoch began
+    assert notes("bad") == [(0, 1, 4, 1), (1, 1, 2, 1)]
+    assert "can't be handled" in lifecycle.notes(spark, f"file://{tmp_path}/bad").where("epoch = 1").first().error
+
+
+def test_idle_alarm_of_a_query_without_records(spark, tmp_path):
+    calls = []
+    alarm = consume.IdleAlarm(calls.append, 2)
+    log_of(spark, [("a", 0, 0, "k", "v")]).write.parquet(f"file://{tmp_path}/in/0")
+    spark.streams.addListener(alarm)
+    try:
+        with_rows = spark.readStream.schema("topic string, partition int, offset long, key string, value string").parquet(f"file://{tmp_path}/in/*")
+        q = with_rows.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/progress").trigger(processingTime="200 milliseconds").start()
+        spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "200")
+        window.stopped(q, lambda: len(calls) > 0, within=40)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
+        spark.streams.removeListener(alarm)
+    assert calls and calls[0] == 2
+
+
+def test_subscription_options(spark, monkeypatch):
+    """There is no connector here, so what the reader is given."""
+    seen = {}
+
+    class Reader:
+        def format(self, name):
+            seen["format"] = name
+            return self
+
+        def options(self, **more):
+            seen.update(more)
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(bytearray(b"k"), bytearray(b"v"), "a", 0, 5, None)], "key binary, value binary, topic string, partition int, offset long, timestamp timestamp")
+
+    class Session:
+        readStream = Reader()  # noqa: N815
+
+    got = records.subscribe(Session(), "a,b", "host:1", starts="a:0:5,b:0:0", group="g", most_per_trigger=10, least_partitions=3).collect()
+    assert [(r.topic, r.key, r.value) for r in got] == [("a", "k", "v")]
+    assert seen == {
+        "format": "kafka", "kafka.bootstrap.servers": "host:1", "subscribe": "a,b", "startingOffsets": '{"a": {"0": 5}}',
+        "groupIdPrefix": "g", "maxOffsetsPerTrigger": "10", "minPartitions": "3",
+    }
+    seen.clear()
+    records.subscribe(Session(), "a", "host:1", starts="a:0:0")
+    assert "startingOffsets" not in seen and set(seen) == {"format", "kafka.bootstrap.servers", "subscribe"}
