@@ -148,6 +148,28 @@ def test_links_are_those_of_all_pairs(spark):
     assert [of[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("others", [0, 300])
+def test_unlike_texts_of_a_shared_passage_undo_no_links(spark, others):
+    """40 texts that are alike in a passage only, beside many that hold it and are not like them."""
+    r = random.Random(14)
+    passage = [f"p{i}" for i in range(250)]
+    own = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    rows = [(i + 1, own(200) + passage + own(200)) for i in range(others)] + [(1000 + i, own(30) + passage + own(25)) for i in range(40)]
+    rows += [(2000, rows[-1][1][:120] + own(3) + rows[-1][1][120:])]
+    of = dict(omh.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect())
+    assert {c for i, c in of.items() if i >= 1000} == {1000}
+    assert all(of[i] == i for i in range(1, others + 1))
+
+
+def test_classes_of_shared_ids_do_not_hang_on_partitions(spark):
+    r = random.Random(15)
+    a, b = ([f"w{r.randrange(10**6)}" for _ in range(90)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(changed(r, a, 0.05, True))), (9, " ".join(changed(r, b, 0.05, True)))]
+    found = {str(sorted(omh.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect())) for n in (1, 2, 3, 4)}
+    found |= {str(sorted(omh.classes(spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(n)).collect())) for n in (1, 3)}
+    assert len(found) == 1
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     item = [r.choice(WORDS) for _ in range(30)]
