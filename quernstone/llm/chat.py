@@ -4,8 +4,8 @@ A conversation's turns run through a finite-state machine over roles; a declarat
 turns them into segments, each with a loss flag.  Control strings inside texts are escaped so
 that the markers of the formatted text are the template's own, and the text reads back exactly.
 
-Escape: in texts and roles, a ``<`` and the backslashes after it, if followed by ``|``, get one
-more backslash (``<|`` becomes ``<\\|``).  Role names also have backslashes, line feeds and
+Escape: in texts and roles, the first character of the template's guard (``<|``) and the backslashes after it, if followed by
+the rest of the guard, get one more backslash (``<|`` becomes ``<\\|``).  Role names also have backslashes, line feeds and
 carriage returns written as two characters.
 
 Defined results: turns stand by (turn, role, text), nulls first, so ties and repeated rows keep a
@@ -31,6 +31,8 @@ class ChatTemplate:
     after_role: str = "\n"
     end: str = "<|im_end|>"
     between: str = "\n"
+    #: What both marks begin with; texts are escaped where they hold it.
+    guard: str = "<|"
     loss_roles: tuple[str, ...] = ("assistant",)
     first: str = "begin"
     #: (state, role) to the next state; whatever is missing is refused.
@@ -42,27 +44,41 @@ class ChatTemplate:
     )
     final: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self):
+        if len(self.guard) < 2 or "\\" in self.guard or self.guard[0] in self.guard[1:] or not (self.start.startswith(self.guard) and self.end.startswith(self.guard)):
+            raise ValueError("both marks must begin with the guard, of two characters or more, without a backslash, the first of them once")
+        if "\\" in self.after_role or not self.after_role.startswith("\n"):
+            raise ValueError("a role ends at a line end, which is what is escaped in it")
+
 
 CHATML = ChatTemplate()
 REFUSED = "refused"
 
 
-def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+def escaped(text: Column, template: ChatTemplate = CHATML) -> Column:
+    """One more backslash after the guard's first character wherever the rest of the guard follows, after backslashes or none."""
+    head, rest = template.guard[0], template.guard[1:]
+    return F.regexp_replace(text, rf"\Q{head}\E(\\*)\Q{rest}\E", _plain(head) + r"\\$1" + _plain(rest))
+
+
+def unescaped(text: Column, template: ChatTemplate = CHATML) -> Column:
+    head, rest = template.guard[0], template.guard[1:]
+    return F.regexp_replace(text, rf"\Q{head}\E\\(\\*)\Q{rest}\E", _plain(head) + "$1" + _plain(rest))
 
 
-def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+def _plain(text: str) -> str:
+    """Text as it stands in a replacement."""
+    return text.replace("$", r"\$")
 
 
-def escaped_role(role: Column) -> Column:
+def escaped_role(role: Column, template: ChatTemplate = CHATML) -> Column:
     one_line = F.replace(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-    return escaped(one_line)
+    return escaped(one_line, template)
 
 
-def unescaped_role(role: Column) -> Column:
+def unescaped_role(role: Column, template: ChatTemplate = CHATML) -> Column:
     """Read pairs from the left: a backslash and the character after it."""
-    role = unescaped(role)
+    role = unescaped(role, template)
     parts = F.split(role, r"\\\\", -1)  # between doubled backslashes
     plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
     return F.array_join(plain, "\\")
@@ -81,8 +97,8 @@ def formatted(conversations: DataFrame, template: ChatTemplate = CHATML) -> Data
     rows = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     of_turn = lambda x: F.array(
-        segment(F.concat(F.lit(t.start), escaped_role(x["role"]), F.lit(t.after_role)), F.lit(False)),
-        segment(escaped(x["text"]), x["role"].isin(*t.loss_roles)),
+        segment(F.concat(F.lit(t.start), escaped_role(x["role"], t), F.lit(t.after_role)), F.lit(False)),
+        segment(escaped(x["text"], t), x["role"].isin(*t.loss_roles)),
         segment(F.lit(t.end + t.between), F.lit(False)),
     )
     rows = rows.select(
@@ -102,9 +118,9 @@ def read_back(formatted_text: Column, template: ChatTemplate = CHATML) -> Column
     role = lambda x: F.substr(x, F.lit(1), role_end(x) - 1)
     tail = len(t.end + t.between)
     text = lambda x: F.substr(x, role_end(x) + len(t.after_role), F.length(x) - role_end(x) - len(t.after_role) + 1 - tail)
-    return F.transform(turns, lambda x: F.struct(unescaped_role(role(x)).alias("role"), unescaped(text(x)).alias("text")))
+    return F.transform(turns, lambda x: F.struct(unescaped_role(role(x), t).alias("role"), unescaped(text(x), t).alias("text")))
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: ChatTemplate = CHATML) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"], template)), "")
