@@ -4,7 +4,7 @@ Rules (host, path) judge the URLs they fit: a rule fits its host and all subdoma
 path starts with its path, and the longest rule wins.  What the rules accept and reject trains two
 variable-order Markov models of URL characters; they judge the rest.
 
-- Characters of host and path are reduced to 37 symbols (a-z, any digit as 0, nine marks, all else).
+- Characters of the whole URL, scheme, query and fragment included, are reduced to 37 symbols (a-z, any digit as 0, nine marks, all else).
 - P(c | context) backs off from three symbols of context to none, each order smoothed by the one
   below in proportion to how little its context was seen (add ``strength`` times the lower
   order's probability).
@@ -16,7 +16,7 @@ What is broadcast is bounded by the alphabet: at most 38**3 rows of order 2 and,
 only for contexts seen, at most 38**4 of order 3, whatever the number of URLs.  Counting and
 scoring aggregate map-side before anything is shuffled.
 
-Defined results: a null URL or one without :// has an empty host and path and score 0; with no
+Defined results: a null URL or one without :// has an empty host and path, and a null or empty one score 0; with no
 accepted or no rejected URL to learn from every score is 0 and the limit too, so all the rest is
 allowed; equal URLs get equal scores; an empty table gives an empty result; other columns are not read.
 """
@@ -124,8 +124,9 @@ def likelihood(chars: DataFrame, model: tuple[DataFrame, ...]) -> DataFrame:
 def judged(pages: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), score and limit: one row per row."""
     host, path = parts(F.col("url").cast("string"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("chars", F.concat("host", "path"))
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), url.alias("chars"))
+    rows = rows.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
     known = rows.where("by_rule is not null").select("chars", (F.col("by_rule.verdict") == "allow").alias("good"))
     held = F.substr(F.md5(F.col("chars").cast("binary")), F.lit(1), F.lit(1)).isin("0", "4", "8", "c")
     model = fit(known.where(~held))
