@@ -19,7 +19,6 @@ rows get equal scores; other columns are carried only if named.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -91,19 +90,18 @@ class RuleEnsemble:
         return 1.0 / (1.0 + F.exp(-z))
 
 
-def paths(tree: str, names: list[str]) -> set[Rule]:
-    """Rules of all nodes but the root, from a fitted tree's printed form."""
-    found, stack = set(), []
-    for line in tree.splitlines():
-        m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) ([-\d.Ee]+)\)", line)
-        if m:
-            depth = len(m[1])
-            stack = [x for x in stack if x[0] < depth] + [(depth, (names[int(m[2])], m[3], float(m[4])))]
-            found.add(Rule(simplified([x[1] for x in stack])))
+def paths(node, names: list[str], above: tuple[tuple[str, str, float], ...] = ()) -> set[Rule]:
+    """Rules of all nodes below a fitted tree's node (of the JVM)."""
+    if not node.getClass().getSimpleName() == "InternalNode":
+        return set()
+    split, found = node.split(), set()
+    for sign, child in (("<=", node.leftChild()), (">", node.rightChild())):
+        tests = (*above, (names[split.featureIndex()], sign, float(split.threshold())))
+        found |= {Rule(simplified(tests))} | paths(child, names, tests)
     return found
 
 
-def simplified(tests: list[tuple[str, str, float]]) -> tuple[tuple[str, str, float], ...]:
+def simplified(tests: tuple[tuple[str, str, float], ...]) -> tuple[tuple[str, str, float], ...]:
     """The tightest limit for each statistic and side, in a fixed order."""
     tight: dict[tuple[str, str], float] = {}
     for name, sign, limit in tests:
@@ -136,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(made).select("features", "label").persist()
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=0.5, featureSubsetStrategy="onethird").fit(vectors)
     vectors.unpersist()
-    rules = sorted({r for t in forest.trees for r in paths(t.toDebugString, names)}, key=lambda r: r.tests)
+    rules = sorted({r for t in forest.trees for r in paths(t._call_java("rootNode"), names)}, key=lambda r: r.tests)
     truth = made.select("label", *(r.column({c: F.col(c) for c in names}).cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
     truth = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(truth).select("features", "label").persist()
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(truth)

@@ -340,9 +340,24 @@ def test_rule_ensemble(spark):
     assert rulefit.scored(docs.limit(0), model).count() == 0
 
 
-def test_tree_paths():
-    tree = "Tree\n  If (feature 0 <= 1.5)\n   If (feature 1 <= 2.0)\n    Predict: 0.0\n   Else (feature 1 > 2.0)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
-    assert {r.tests for r in rulefit.paths(tree, ["a", "b"])} == {(("a", "<=", 1.5),), (("a", "<=", 1.5), ("b", "<=", 2.0)), (("a", "<=", 1.5), ("b", ">", 2.0)), (("a", ">", 1.5),)}
+def test_tree_paths(spark):
+    """Rules of a fitted forest's nodes, held against what its trees print."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    r = random.Random(4)
+    rows = [(float(i % 7), r.random() * 1e-5, float(i % 7 > 3 or r.random() > 0.8)) for i in range(300)]
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    want = set()
+    forest = RandomForestClassifier(numTrees=3, maxDepth=3, seed=1).fit(rows)
+    for tree in forest.trees:
+        above: list = []
+        for line in tree.toDebugString.splitlines():
+            m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) ([-\d.Ee]+)\)", line)
+            if m:
+                above = [x for x in above if x[0] < len(m[1])] + [(len(m[1]), ("ab"[int(m[2])], m[3], float(m[4])))]
+                want.add(rulefit.simplified(tuple(x[1] for x in above)))
+    assert {r.tests for t in forest.trees for r in rulefit.paths(t._call_java("rootNode"), ["a", "b"])} == want and len(want) > 8
 
 
 def test_pipeline_stages(spark, sf_dir):
