@@ -10,6 +10,7 @@ from ..operators import bloom, buckets, bulkload, ranks
 from ..operators.scan import count_rows, row_page
 from . import catalog
 from .catalog import _ORDERS, _shown, query
+from .session import new_path
 from .tables import event_cells, order_cells, table
 
 
@@ -96,3 +97,13 @@ def _(spark, d):
     rows = c.select("c_custkey", F.upper("c_mktsegment").alias("segment"))
     maybe = bloom.probe(rows, "segment", bloom.build(members, "segment", spec, mapper), spec, mapper).where("maybe").drop("maybe")
     return maybe.join(members.select(F.upper("segment").alias("segment")), "segment", "left_semi").select("c_custkey", "segment")
+
+
+@query("bulk_file_order", f"""WITH {_ORDERS}, p AS (SELECT *, CASE WHEN row_key < '0000003000' THEN 0 WHEN row_key < '0000007000' THEN 1 ELSE 2 END AS region FROM oc)
+SELECT row_key, family, qualifier, ts, row_number() OVER (PARTITION BY region, family ORDER BY row_key, qualifier, ts DESC) AS nth FROM p""")
+def _(spark, d):
+    """The place of every cell in the file that a bulk load wrote: files of a region and family, in order of key, column and version."""
+    path = new_path(spark, "table")
+    bulkload.bulk_load(order_cells(spark, d), path, ["0000003000", "0000007000"], ["d", "m"])
+    rows = spark.read.parquet(path)
+    return rows.select("row_key", "family", "qualifier", "ts", (F.col("_metadata.row_index") + 1).alias("nth"))

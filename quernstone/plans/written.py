@@ -146,6 +146,14 @@ def _(spark, d):
     return _shown(mutate.delete_column_sets(order_cells(spark, d), sets, family="m"))
 
 
+@query("delete_empty_sets", f"WITH {_ORDERS}, {_GONE} SELECT * FROM oc WHERE NOT (qualifier = 'price' AND row_key IN (SELECT row_key FROM gone WHERE CAST(row_key AS BIGINT) % 2 = 0))")
+def _(spark, d):
+    """Instructions of which every other one has an empty set: those delete nothing."""
+    even = F.col("row_key").cast("long") % 2 == 0
+    sets = _keys(spark, d).select("row_key", F.when(even, F.array(F.lit("price"))).otherwise(F.array().cast("array<string>")).alias("qualifiers"))
+    return _shown(mutate.delete_column_sets(order_cells(spark, d), sets, family="m"))
+
+
 @query("entity_hooks", f"WITH {_ORDERS} SELECT row_key, status, lower(priority) AS priority, price, custkey, status || ':' || lower(priority) AS label FROM o")
 def _(spark, d):
     """Entities changed before they are written, and given one more column after they are read."""
