@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..sources import csv, csvfiles
 from ..streaming import delivery, records
 from .catalog import _LOG, query
+from .csvlines import _CSV, _LINE, _lines, _parsed
 from .session import new_path
 from .tables import event_log, table
-from .written import _CSV, _LINE, _lines, _parsed
 
 
 def _local(path: str) -> str:
