@@ -6,7 +6,6 @@ order, with stragglers in later turns and gaps that never close.
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -72,19 +71,12 @@ def _(spark, d):
     finished, starts = _finished(spark, d)
     folder, path, checkpoint, patience = new_path(spark, "finished"), new_path(spark, "commits"), new_path(spark, "progress"), 1500
     _write(finished, folder, range(TURNS))
-    n, last = finished.count(), [time.monotonic()]
-    keep = _kept(path)
-
-    def handler(batch, number):
-        keep(batch, number)
-        if not spark.read.parquet(f"{path}/number={number}").isEmpty():
-            last[0] = time.monotonic()
-
+    settled = window.Settled(finished.count(), patience)
     with window.state_store(spark):
         commits = window.windowed_commits(_read(spark, folder), starts, window=1 << 40, patience_ms=patience)
-        q = _run(commits, handler, checkpoint, "update", processingTime="2 seconds")
-        read = lambda: sum(p["numInputRows"] for p in q.recentProgress) >= n
-        window.stopped(q, lambda: read() and time.monotonic() - last[0] > 3 * patience / 1000 + 3)
+        q = _run(commits, settled.handler(_kept(path)), checkpoint, "update", processingTime="2 seconds")
+        if not window.stopped(q, lambda: settled(q.recentProgress)):
+            raise RuntimeError("the query made no batch for two minutes before its timers were through")
     left = window.flushed(spark, checkpoint).agg(F.count("*").alias("n"))
     done = spark.read.parquet(path).groupBy("topic", "partition").agg(F.max("commit").alias("commit"), F.bool_and(F.col("why") == "timer").alias("by_timer"))
     return done.withColumn("left_over", left.scalar())

@@ -116,15 +116,52 @@ def flushed(spark: SparkSession, checkpoint: str) -> DataFrame:
     return waiting(spark, checkpoint).where(first).select("topic", "partition", F.get("hi", F.lit(0)).alias("commit"))
 
 
-def stopped(query: StreamingQuery, when: Callable[[], bool], within: float = 120.0, grace: float = 5.0) -> None:
-    """Stop a running query once ``when`` holds, or after so many seconds, between two batches if there is such a moment
-    within the grace; its error, if it had one, is raised."""
-    until = time.monotonic() + within
-    while query.isActive and not when() and time.monotonic() < until:
+class Settled:
+    """Tells when a query of ``windowed_commits`` with patience has committed all that its records allow.
+
+    That is so once ``rows`` records are read and a batch is done that began when the timers of the last batch with records were due:
+    not a matter of how long the batches take.  The query's handler has to be the one of ``handler``."""
+
+    def __init__(self, rows: int, patience_ms: int):
+        self.rows, self.patience = rows, patience_ms / 1000 + 0.1
+        self.called: dict[int, float] = {}
+        self.ended: dict[int, float] = {}
+        self.read: dict[int, int] = {}
+
+    def handler(self, inner: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        def go(batch: DataFrame, number: int) -> None:
+            self.called[number] = time.monotonic()
+            inner(batch, number)
+            self.ended[number] = time.monotonic()
+
+        return go
+
+    def __call__(self, progress: list) -> bool:
+        """``progress``: the latest reports of the query; Spark keeps a hundred, so this is asked again and again."""
+        for p in progress:
+            self.read[p["batchId"]] = max(self.read.get(p["batchId"], 0), p["numInputRows"])
+        if sum(self.read.values()) < self.rows:
+            return False
+        last = max((number for number, n in self.read.items() if n), default=None)
+        if last is None:
+            return True
+        due = self.called[last] + self.patience  # a batch's timers count from its own time, which is before its handler
+        return any(number > last and self.ended.get(number - 1, 0.0) >= due for number in list(self.ended))
+
+
+def stopped(query: StreamingQuery, when: Callable[[], bool], within: float = 120.0, grace: float = 5.0) -> bool:
+    """Stop a running query once ``when`` holds, or after so many seconds without a report of a further batch, between two batches if
+    there is such a moment within the grace; its error, if it had one, is raised.  Did ``when`` hold?"""
+    until, batch, held = time.monotonic() + within, None, False
+    while query.isActive and not (held := when()) and time.monotonic() < until:
         time.sleep(0.2)
+        report = query.lastProgress
+        if report is not None and report["batchId"] != batch:
+            batch, until = report["batchId"], time.monotonic() + within
     if query.exception() is not None:
         raise query.exception()
     until = time.monotonic() + grace
     while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
         time.sleep(0.02)
     query.stop()
+    return held

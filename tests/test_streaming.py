@@ -218,3 +218,29 @@ def test_subscription_options(spark, monkeypatch):
     seen.clear()
     records.subscribe(Session(), "a", "host:1", starts="a:0:0")
     assert "startingOffsets" not in seen and set(seen) == {"format", "kafka.bootstrap.servers", "subscribe"}
+
+
+def test_settled_waits_for_timers_after_a_slow_batch(monkeypatch):
+    """The last batch with records takes longer than any wait: its timers still have to be through."""
+    now = [0.0]
+    monkeypatch.setattr(window.time, "monotonic", lambda: now[0])
+    settled = window.Settled(30, 1500)
+    report = [{"batchId": 0, "numInputRows": 10}]
+
+    def batch(number, seconds):
+        settled.handler(lambda rows, n: now.__setitem__(0, now[0] + seconds))(None, number)
+
+    batch(0, 1)
+    assert not settled(report)
+    batch(1, 60)
+    report.append({"batchId": 1, "numInputRows": 20})
+    assert not settled(report)
+    batch(2, 1)
+    assert settled(report)
+    quick = window.Settled(5, 1500)
+    for number, seconds in ((0, 0.5), (1, 0.5), (2, 1.0)):
+        quick.handler(lambda rows, n, s=seconds: now.__setitem__(0, now[0] + s))(None, number)
+        assert not quick([{"batchId": 0, "numInputRows": 5}])
+    quick.handler(lambda rows, n: None)(None, 3)
+    assert quick([{"batchId": 0, "numInputRows": 5}])
+    assert window.Settled(0, 1500)([])
