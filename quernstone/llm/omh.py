@@ -23,15 +23,13 @@ fifth of the words is changed, evenly spaced, have hardly a run of five words in
   near copies costs one alignment for each member and bucket, not its square.
 - Where that leaves a bucket of at most HOT nodes in several components, all pairs across its components follow,
   unless their lengths rule them out; one shared sample is enough.  Pairs inside a component are never made.
-- Larger buckets in several components come from passages that many unlike texts share.  They are met in two ways, for
-  texts that are alike in the passage and for those that are alike in the rest.
-  First, such a bucket is split by its nodes' next samples, one after the other, until a part has at most HOT nodes, where all pairs across
-  components follow.  Texts that are alike share most of their samples and stay together from one of their buckets at least;
-  texts that have only the passage in common part.  What is still larger after DEEP samples are texts that agree nearly everywhere:
-  each is held against one node of its part.
-  Second, the nodes are sampled once more, without the k-mers that stand in more than HOT of them.  No bucket of these samples has more
-  than HOT nodes, as all of a bucket have its k-mers, so all pairs across components follow there, too.
-  In both the number of pairs grows with the nodes, not with their square.
+- Larger buckets in several components come from passages that many unlike texts share.  Their nodes are joined exactly (``_across``): no
+  pair of them that the rule takes is left out, whatever samples it shares.  A text of m words has at least m - q + 1 - q * edits runs of
+  q words in common with a similar one, and by the second half of the rule a share of its distinct k-mers; so two similar texts have one of the
+  rarest runs in common that are left when that many less one of the commonest are set aside.  Runs of five, three, two words and one follow each other:
+  where a rare run stands in at most HOT nodes, all pairs across components follow; nodes that have one in more (a passage that is
+  too large a share of their text) go on to the next.  What is crowded still after single words agrees in most of its words: those nodes are held against each other
+  in blocks, each a task of its own, ruled out by their counts of words first.  That step alone grows with the square of its nodes.
 - Texts are never shuffled: the word sequences of candidates only are, picked where the texts
   are read by a Bloom filter of fixed size.
 
@@ -49,8 +47,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import Bloom
@@ -64,7 +63,9 @@ SIMILARITY = 0.8
 ORDERS = 64
 LEAST = 2
 HOT = 16
-DEEP = 6
+RUNS = (WORDS_IN_KMER, 3, 2, 1)
+IN_BLOCK = 256
+COUNTS = 256
 _factors = (np.random.default_rng(20190712).integers(1, 1 << 63, size=256, dtype=np.uint64) << U64(1)) | U64(1)
 
 
@@ -163,38 +164,6 @@ def _sketches(orders: int, least: int):
     return go
 
 
-def _kmers(wanted):
-    """Distinct k-mers of each text of some nodes."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.probe(batch.column(0).to_numpy())))
-            for _, _, data, offsets in text_runs(batch.column(1)):
-                w = Words(data, offsets, WORDLIKE)
-                kmers, text = text_kmers(w.hashes(), w.ptr)
-                _, first = occurrence_labels(kmers, text)
-                found, count = np.unique(kmers[first], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(found)), pa.array(count)], ["kmer", "n"])
-
-    return go
-
-
-def _rare_samples(orders: int, least: int, wanted, frequent):
-    """Samples of the texts of some nodes, less the frequent k-mers."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.probe(batch.column(0).to_numpy())))
-            for lo, hi, data, offsets in text_runs(batch.column(1)):
-                w = Words(data, offsets, WORDLIKE)
-                kmers, text = text_kmers(w.hashes(), w.ptr)
-                rare = ~frequent.value.probe(kmers)
-                keys, some = text_samples(kmers[rare], text[rare], hi - lo, orders, least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(keys, some)], ["node", "keys"])
-
-    return go
-
-
 def _sequences(wanted):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,12 +262,17 @@ def _aligned(similarity: float):
     return go
 
 
+def _words(nodes: DataFrame, texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, words) of these nodes (and some more), by the chosen text of each."""
+    wanted = nodes.sparkSession.sparkContext.broadcast(Bloom(nodes, "node"))
+    words = texts.mapInArrow(_sequences(wanted), "node long, d1 long, d2 long, words binary").join(chosen, ["node", "d1", "d2"], "left_semi")
+    return stored(words.select("node", "words").dropDuplicates(["node"]), "sequences")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts align, each by its chosen one."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    wanted = pairs.sparkSession.sparkContext.broadcast(Bloom(nodes.distinct(), "node"))
-    words = texts.mapInArrow(_sequences(wanted), "node long, d1 long, d2 long, words binary").join(chosen, ["node", "d1", "d2"], "left_semi")
-    words = stored(words.select("node", "words").dropDuplicates(["node"]), "sequences").hint("merge")
+    words = _words(nodes.distinct(), texts, chosen).hint("merge")
     sides = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
     sides = sides.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     return sides.mapInArrow(_aligned(similarity), "a long, b long")
@@ -332,28 +306,121 @@ def _worth(similarity: float):
     return F.greatest("n_a", "n_b") - F.least("n_a", "n_b") <= F.floor((1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
 
 
-def _parted(crowded: DataFrame, keys: DataFrame, lengths: DataFrame, similarity: float, hot: int, deep: int) -> DataFrame:
-    """Pairs (a, b) of nodes of crowded buckets (key, node, root), split by the nodes' further samples (node, keys)."""
-    nth = F.array_position("keys", F.col("key"))
-    more = F.transform(F.sequence(F.lit(0), F.lit(deep - 1)), lambda j: F.get("keys", ((nth + j) % F.size("keys")).cast("int")))
-    rows = stored(crowded.join(keys, "node").select("key", "node", "root", more.alias("more")), "crowded")
-    small = []
-    for j in range(deep):
-        rows = rows.withColumn("key", F.xxhash64("key", F.get("more", F.lit(j))))
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size")
-        rows = stored(rows.join(sizes, "key"), "parts")
-        small.append(rows.where(F.col("size") <= hot).select("key", "node", "root"))
-        rows = rows.where(F.col("size") > hot).drop("size")
+def least_common(n: int, q: int, similarity: float) -> int:
+    """How many runs of q words (with their number of occurrence) a text of n words has in common with any similar one at least, which may be 0."""
+    least = n
+    for m in range(n, int(n / similarity + 1e-9) + 1):
+        least = min(least, m - q + 1 - q * int((1 - similarity) * m + 1e-9))
+    return max(0, least)
+
+
+def rare_runs(words: np.ndarray, q: int, similarity: float) -> tuple[np.ndarray, int]:
+    """The runs of q words of a text, as numbers, and how many of the rarest of them a similar text can't miss all of."""
+    if q == WORDS_IN_KMER:
+        runs = distinct_kmers(words) if len(words) >= q else np.zeros(0, U64)
+        kept = similarity**q
+        common = int(np.ceil(kept / (2 - kept) * len(runs) - 1e-9))
+    else:
+        runs = grams(words.astype(U64), q) if len(words) >= q else np.zeros(0, U64)
+        runs = np.unique(occurrence_labels(runs, np.zeros(len(runs), np.int64))[0])
+        common = least_common(len(words), q, similarity)
+    return runs, len(runs) - max(common, 1) + 1
+
+
+def not_by_runs(q: int, similarity: float) -> int | None:
+    """Texts up to this many words may have similar ones without a common run of q words; None: texts of any length may."""
+    if q == WORDS_IN_KMER:  # the rule asks texts under five words for none, and so their partners
+        return int((q - 1) / similarity + 1e-9)
+    if q * (1 - similarity) >= 0.9:
+        return None
+    upto = int((2 * q + 2) / (1 - q * (1 - similarity))) + 1
+    return max((n for n in range(1, upto + 1) if least_common(n, q, similarity) < 1), default=0)
+
+
+def _runs(q: int, similarity: float):
+    """(key, node, root, most) of every run of texts (node, root, words), some texts at a time."""
+
+    def batched(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+        n = [len(r[0]) for r in rows]
+        columns = [np.repeat(np.array([r[i] for r in rows], np.int64), n) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([r[0] for r in rows]))), pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["key", "node", "root", "most"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for node, root, words in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
+                runs, most = rare_runs(np.frombuffer(words.as_py(), dtype=np.uint32), q, similarity)
+                held.append((runs, node, root, most))
+                size += len(runs)
+                if size >= 1 << 16:
+                    yield batched(held)
+                    held, size = [], 0
+            if held:
+                yield batched(held)
+
+    return go
+
+
+def _held(similarity: float):
+    """The similar pairs of two blocks of nodes (of one, if they are the same)."""
+
+    def counts(words: list[np.ndarray]) -> np.ndarray:
+        return np.array([np.bincount(mix(w.astype(U64)) % U64(COUNTS), minlength=COUNTS) for w in words], dtype=np.int32).reshape(-1, COUNTS)
+
+    def go(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        first, second = (group[group["block"] == x].reset_index(drop=True) for x in (i, j))
+        x, y = ([np.frombuffer(w, dtype=np.uint32) for w in side["words"]] for side in (first, second))
+        cx, cy, nx, ny = counts(x), counts(y), np.array([len(w) for w in x], np.int64), np.array([len(w) for w in y], np.int64)
+        found = []
+        for k in range(len(x)):
+            longer = np.maximum(nx[k], ny)
+            edits = np.floor((1 - similarity) * longer + 1e-9)
+            may = (second["root"].to_numpy() != first["root"][k]) & (longer - np.minimum(nx[k], ny) <= edits)
+            if i == j:
+                may[: k + 1] = False
+            at = np.flatnonzero(may)
+            # an edit changes two counts by one
+            at = at[np.abs(cy[at] - cx[k]).sum(axis=1) <= 2 * edits[at]]
+            found += [(first["node"][k], second["node"][m]) for m in at if similar(x[k], y[m], similarity)]
+        return pd.DataFrame({"a": [min(p) for p in found], "b": [max(p) for p in found]}, dtype="int64")
+
+    return go
+
+
+def _block_pairs(rows: DataFrame, similarity: float, in_block: int = IN_BLOCK) -> DataFrame:
+    """The similar pairs (a, b) of all rows (node, root, words) of different roots; blocks against blocks, a task holds two of them."""
+    n = -(-rows.count() // in_block)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    placed = placed.select("node", "root", "words", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return placed.groupBy("i", "j").applyInPandas(_held(similarity), "a long, b long")
+
+
+def _across(rows: DataFrame, lengths: DataFrame, similarity: float, hot: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of nodes (node, root, words): pairs (a, b) to align, and pairs that are similar.  No similar pair of different roots is in neither."""
+    found = []
+    for q in RUNS:
+        short = not_by_runs(q, similarity)
+        if short is None:
+            continue
+        runs = rows.select("node", "root", "words").mapInArrow(_runs(q, similarity), "key long, node long, root long, most int")
+        spread = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
+        rare = runs.join(spread.hint("merge"), "key").withColumn("nth", nth).where("nth <= most and lo < hi").select("key", "node", "root")
+        rare = stored(rare, "rare")
+        sizes = rare.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size")
+        rare = stored(rare.join(sizes, "key"), "rare")
+        found.append(_pairs(rare.where(F.col("size") <= hot).drop("size"), lengths, similarity))
+        more = rare.where(F.col("size") > hot).select("node").union(rows.where(F.length("words") <= 4 * short).select("node")).distinct()
+        rows = stored(rows.join(more, "node", "left_semi"), "rest")
         if rows.isEmpty():
             break
-    pairs = _pairs(reduce(DataFrame.union, small), lengths, similarity)
-    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("a"), F.col("root").alias("root_a"))).alias("hub")).select("key", "hub.a", "hub.root_a")
-    met = stored(rows.join(hubs, "key").where("root <> root_a").select("a", F.col("node").alias("b")).distinct(), "met")
-    met = met.join(lengths.toDF("a", "n_a"), "a").join(lengths.toDF("b", "n_b"), "b").where(_worth(similarity))
-    return pairs.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    held = None if rows.isEmpty() else _block_pairs(rows, similarity)
+    return reduce(DataFrame.union, found).distinct(), held
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, orders: int = ORDERS, least: int = LEAST, hot: int = HOT, deep: int = DEEP) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, orders: int = ORDERS, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """(doc_id, class_id): one row per row of ``docs``; class_id is the least doc_id of its near duplicates."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.lower(F.col("text").cast("string")).alias("text"))
@@ -377,21 +444,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, orders: int = ORDER
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     apart = stored(placed.join(split, "key", "left_semi"), "apart")
     across = _pairs(apart.where(F.col("size") <= hot).drop("size"), lengths, similarity)
-    crowded = stored(apart.where(F.col("size") > hot).select("node").distinct(), "crowded")
+    crowded, held = stored(apart.where(F.col("size") > hot).select("node", "root").distinct(), "crowded"), None
     if not crowded.isEmpty():
-        wanted = sc.broadcast(Bloom(crowded, "node"))
-        counts = known_texts.mapInArrow(_kmers(wanted), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
-        often = stored(counts.where(F.col("n") > hot).select("kmer"), "often")
-        rare = known_texts.mapInArrow(_rare_samples(orders, least, wanted, sc.broadcast(Bloom(often, "kmer"))), "node long, keys array<long>")
-        again = stored(rare.join(crowded, "node", "left_semi").select("node", F.explode("keys").alias("key")).distinct(), "again")
-        met = again.groupBy("key").count().where("count > 1").select("key")
-        again = again.join(met, "key", "left_semi").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        parted = _parted(apart.where(F.col("size") > hot).select("key", "node", "root"), chosen.select("node", "keys"), lengths, similarity, hot, deep)
-        across = across.union(_pairs(again, lengths, similarity)).union(parted).distinct()
+        rows = stored(crowded.join(_words(crowded.select("node"), known_texts, chosen).hint("merge"), "node"), "crowded")
+        pairs, held = _across(rows, lengths, similarity, hot)
+        across = across.union(pairs).distinct()
     across = stored(across, "across")
-    if not across.isEmpty():
-        more = stored(_verified(across, known_texts, chosen, similarity), "verified")
-        root = stored(components(links.union(more)), "roots")
+    if held is not None or not across.isEmpty():
+        more = links if across.isEmpty() else links.union(_verified(across, known_texts, chosen, similarity))
+        root = stored(components(stored(more if held is None else more.union(held), "verified")), "roots")
     of_node = nodes.select("d1", "d2", "node").join(root, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("class_id"))
     found = known.select("doc_id", "d1", "d2").join(stored(of_node, "class"), ["d1", "d2"]).select("doc_id", "class_id")
     return found.union(made.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))

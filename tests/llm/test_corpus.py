@@ -383,3 +383,43 @@ def test_pipeline_stages(spark, sf_dir):
     empty = docs.limit(0)
     for name, stage in cp.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_crowded_texts_are_joined_exactly(spark):
+    """Pairs of texts that a crowded bucket holds are all found, by rare runs or, where there are none, block by block."""
+    r = random.Random(16)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"w{r.randrange(10**6)}" for _ in range(n)] for n in (12, 17, 20, 40, 90, 300) for _ in range(12)]
+    texts += [changed(r, t, 0.12, False) for t in texts[::3]] + [["a", "b", "c", "d"], ["a", "b", "c", "d", "e"], ["z"], ["z", "y"]]
+    texts += [[f"p{i}" for i in r.sample(range(60), 60)] for _ in range(6)]  # the same words in other orders
+    codes = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if omh.similar(codes[i], codes[j], 0.8)}
+    rows = spark.createDataFrame([(i, i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "node long, root long, words binary")
+    lengths = spark.createDataFrame([(i, len(c)) for i, c in enumerate(codes)], "node long, n int")
+    for hot in (16, 2):
+        pairs, held = omh._across(rows, lengths, 0.8, hot)
+        got = set(map(tuple, pairs.collect()))
+        sure = set(map(tuple, held.collect())) if held is not None else set()
+        assert want <= got | sure and sure <= want, hot
+        assert (held is not None) == (hot == 2)
+    assert set(map(tuple, omh._block_pairs(rows, 0.8, 7).collect())) == want
+
+
+def test_runs_that_similar_texts_share():
+    """No similar pair has fewer runs in common than the bound says."""
+    r = random.Random(17)
+    for _ in range(300):
+        a = [r.randrange(40) for _ in range(r.randrange(1, 40))]
+        b = list(a)
+        for _ in range(r.randrange(0, len(a) // 4 + 1)):
+            at = r.randrange(len(b))
+            b[at : at + r.choice((0, 1, 1))] = [r.randrange(40)]
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        if not omh.similar(x, y, 0.8):
+            continue
+        for q in omh.RUNS:
+            if min(len(a), len(b)) <= omh.not_by_runs(q, 0.8):
+                continue
+            (u, u_most), (v, v_most) = omh.rare_runs(x, q, 0.8), omh.rare_runs(y, q, 0.8)
+            both = len(np.intersect1d(u, v))
+            assert both >= max(len(u) - u_most, len(v) - v_most) + 1
