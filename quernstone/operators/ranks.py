@@ -13,6 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 32
+#: Rows that a task is to sort at a time.
+ROWS = 1 << 18
+
+
+def parts_for(rows: int, least: int = 1, each: int = ROWS) -> int:
+    """Parts for a table of so many rows, so that a part stays as large as it is when the table grows."""
+    return max(least, -(-rows // each))
 
 
 def sampled_splits(df: DataFrame, key: str, parts: int) -> list:
@@ -96,6 +103,12 @@ def sketched_splits(df: DataFrame, key: str, parts: int, k: int = 1024) -> list[
     return sorted({t for t in texts if t > low})
 
 
+def with_cuts(df: DataFrame, key: str, splits: list[str], rows: int) -> list[str]:
+    """Split keys and those between them that leave about ROWS of a table's rows to a range (sketched)."""
+    parts = parts_for(rows)
+    return sorted({*splits, *(sketched_splits(df, key, parts) if parts > 1 else [])})
+
+
 def keys_at(df: DataFrame, key: str, numbers: list[int], parts: int = 256, small: int = 1 << 16) -> list[str | None]:
     """The keys with these numbers (from 1) among the distinct keys in order; None beyond the last.
 

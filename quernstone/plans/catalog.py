@@ -376,8 +376,10 @@ def _(spark, d):
 @query("bulk_placed_partitions", f"WITH {_ORDERS} SELECT count(*) AS n, 0 AS misplaced, 0 AS unsorted FROM oc")
 def _(spark, d):
     """Cells outside the partition of their region and file, and cells out of order: none."""
-    splits = ["0000003000", "0000007000", "0000012000"]
+    entities_ = order_entities(spark, d)
+    splits = ranks.with_cuts(entities_, "row_key", ["0000003000", "0000007000", "0000012000"], 4 * entities_.count())
     rows = bulkload.placed(order_cells(spark, d), splits, 2).select("row_key", "family", "qualifier", "ts", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("i"))
+    rows = rows.repartition(8 * (len(splits) + 1), "at")  # by the placed partitions, not by their compressed bytes
     order = Window.partitionBy("at").orderBy("i")
     key = F.struct("family", "row_key", "qualifier", -F.col("ts"))
     rows = rows.withColumn("before", F.lag(key).over(order)).withColumn("wrong", F.col("at") != bulkload.file_number(F.col("row_key"), splits, 2))

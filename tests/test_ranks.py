@@ -121,3 +121,14 @@ def test_placed_by_a_table_of_splits(spark):
     splits = spark.createDataFrame([("k100",), ("k200",)], "split string")
     rows = bulkload.placed_by(cells, splits, 3, 2).withColumn("at", F.spark_partition_id()).collect()
     assert all(r.at // 2 == r.region == int(r.row_key[1:]) // 100 for r in rows) and {r.at for r in rows} == set(range(6))
+
+
+def test_cuts_keep_parts_small(spark, monkeypatch):
+    """A region of nearly all keys is cut further; the given split keys stay."""
+    monkeypatch.setattr(ranks, "parts_for", lambda rows, least=1: max(least, -(-rows // 100)))
+    keys = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("k"))
+    splits = ranks.with_cuts(keys, "k", ["0000000030", "0000000070"], 2000)
+    assert {"0000000030", "0000000070"} <= set(splits)
+    sizes = keys.groupBy(ranks.range_of(F.col("k"), splits).alias("at")).count().collect()
+    assert len(sizes) >= 15 and max(r["count"] for r in sizes) <= 200
+    assert ranks.with_cuts(keys, "k", ["0000000030"], 50) == ["0000000030"]
