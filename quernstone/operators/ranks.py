@@ -162,6 +162,8 @@ def filled_ranges(df: DataFrame, key: str, splits: DataFrame, parts: int = 256,
     plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
     rows = df.withColumns({"coarse": F.coalesce(range_of(F.col(key), coarse), F.lit(0)), "salt": F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"), "filled": F.lit(None).cast("int")})
     both = rows.withColumn("is_row", F.lit(1)).unionByName(cuts.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
+    # a number of its own: Spark would put parts together by their compressed bytes, which says little of the rows to sort
+    both = both.repartition(min(parts * salts, parts_for(df.count() + salts * at, 16)), "coarse", "salt")
     so_far = Window.partitionBy("coarse", "salt").orderBy(F.col(key).asc_nulls_first(), "is_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = F.coalesce(F.last("filled", ignorenulls=True).over(so_far), F.lit(0)) + F.get(F.array(*map(F.lit, before)), F.col("coarse"))
     return both.withColumn(name, filled.cast("int")).where("is_row = 1").select(*df.columns, name)

@@ -151,3 +151,11 @@ def test_buckets_of_a_store_grow_with_its_cells(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ranks.parts_for, "__defaults__", (1, 300))
     name = ranked._store(spark, cells)
     assert buckets.buckets(spark, name) == -(-cells.count() // 300) > 8
+
+
+def test_filled_ranges_have_partitions_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranks.parts_for, "__defaults__", (1, 50))
+    rows = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("k"))
+    found = ranks.filled_ranges(rows, "k", rows.where("k % 100 = 3").select(F.col("k").alias("split")))
+    assert found.rdd.getNumPartitions() >= 40
+    assert {(r.k, r.region) for r in found.collect()} == {(f"{i:010}", (i + 97) // 100) for i in range(2000)}
