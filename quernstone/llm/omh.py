@@ -28,7 +28,8 @@ fifth of the words is changed, evenly spaced, have hardly a run of five words in
   q words in common with a similar one, and by the second half of the rule a share of its distinct k-mers; so two similar texts have one of the
   rarest runs in common that are left when that many less one of the commonest are set aside.  Runs of five, three, two words and one follow each other:
   where a rare run stands in at most HOT nodes, all pairs across components follow; nodes that have one in more (a passage that is
-  too large a share of their text) go on to the next.  What is crowded still after single words agrees in most of its words: those nodes are held against each other
+  too large a share of their text) go on to the next.  Runs of one component only are the rarest, as they link nothing, and those of more than CROWD * HOT nodes
+  (and a few that a filter of fixed size takes for such; an order needs only be the same for all texts) the commonest; neither is shuffled more than once, for the count.  What is crowded still after single words agrees in most of its words: those nodes are held against each other
   in blocks, each a task of its own, ruled out by their counts of words first.  That step alone grows with the square of its nodes.
 - Texts are never shuffled: the word sequences of candidates only are, picked where the texts
   are read by a Bloom filter of fixed size.
@@ -63,6 +64,7 @@ SIMILARITY = 0.8
 ORDERS = 64
 LEAST = 2
 HOT = 16
+CROWD = 8
 RUNS = (WORDS_IN_KMER, 3, 2, 1)
 IN_BLOCK = 256
 COUNTS = 256
@@ -337,20 +339,32 @@ def not_by_runs(q: int, similarity: float) -> int | None:
     return max((n for n in range(1, upto + 1) if least_common(n, q, similarity) < 1), default=0)
 
 
-def _runs(q: int, similarity: float):
-    """(key, node, root, most) of every run of texts (node, root, words), some texts at a time."""
+def _runs(q: int, similarity: float, some=None, big=None):
+    """(key, node, root, aside) of every run of texts (node, root, words), some texts at a time; aside: how many of a text's commonest runs may be set aside.
 
-    def batched(rows: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
-        n = [len(r[0]) for r in rows]
+    With two filters, ``some`` and ``big``: only runs that are in the first and not in the second; those in the second are set aside before
+    all others, and a text that has more of them than it may set aside has a row without a key."""
+
+    def batched(rows: list[tuple[np.ndarray, int, int, int, bool]]) -> pa.RecordBatch:
+        n = [len(r[0]) + r[4] for r in rows]
+        none = np.zeros(sum(n), dtype=bool)
+        none[np.cumsum(n)[[r[4] for r in rows]] - 1] = True
         columns = [np.repeat(np.array([r[i] for r in rows], np.int64), n) for i in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([r[0] for r in rows]))), pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["key", "node", "root", "most"])
+        keys = np.zeros(len(none), dtype=np.int64)
+        keys[~none] = as_long(np.concatenate([r[0] for r in rows]))
+        return pa.RecordBatch.from_arrays([pa.array(keys, mask=none), pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["key", "node", "root", "aside"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
             for node, root, words in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 runs, most = rare_runs(np.frombuffer(words.as_py(), dtype=np.uint32), q, similarity)
-                held.append((runs, node, root, most))
+                aside, more = len(runs) - most, False
+                if big is not None:
+                    last = big.value.probe(as_long(runs))
+                    runs, n = runs[~last & some.value.probe(as_long(runs))], int(last.sum())
+                    aside, more = max(0, aside - n), n > aside
+                held.append((runs, node, root, aside, more))
                 size += len(runs)
                 if size >= 1 << 16:
                     yield batched(held)
@@ -399,20 +413,25 @@ def _block_pairs(rows: DataFrame, similarity: float, in_block: int = IN_BLOCK) -
 
 def _across(rows: DataFrame, lengths: DataFrame, similarity: float, hot: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Of nodes (node, root, words): pairs (a, b) to align, and pairs that are similar.  No similar pair of different roots is in neither."""
-    found = []
+    found, sc = [], rows.sparkSession.sparkContext
     for q in RUNS:
         short = not_by_runs(q, similarity)
         if short is None:
             continue
-        runs = rows.select("node", "root", "words").mapInArrow(_runs(q, similarity), "key long, node long, root long, most int")
-        spread = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        nth = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
-        rare = runs.join(spread.hint("merge"), "key").withColumn("nth", nth).where("nth <= most and lo < hi").select("key", "node", "root")
+        texts, layout = rows.select("node", "root", "words"), "key long, node long, root long, aside int"
+        # runs of one component only come first in the order of rarity: they link nothing, so they aren't met again
+        spread = texts.mapInArrow(_runs(q, similarity), layout).groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        spread = stored(spread.where("lo < hi").select("key", "n"), "spread")
+        # those of a crowd come last: their texts go on if they have too many of them
+        some, big = (sc.broadcast(Bloom(spread.where(which), "key")) for which in (F.col("n") <= CROWD * hot, F.col("n") > CROWD * hot))
+        runs = stored(texts.mapInArrow(_runs(q, similarity, some, big), layout), "runs")
+        from_last = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")))
+        rare = runs.join(spread.where(F.col("n") <= CROWD * hot).hint("merge"), "key").withColumn("from_last", from_last).where("from_last > aside").select("key", "node", "root")
         rare = stored(rare, "rare")
-        sizes = rare.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size")
-        rare = stored(rare.join(sizes, "key"), "rare")
-        found.append(_pairs(rare.where(F.col("size") <= hot).drop("size"), lengths, similarity))
-        more = rare.where(F.col("size") > hot).select("node").union(rows.where(F.length("words") <= 4 * short).select("node")).distinct()
+        sizes = stored(rare.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size"), "sizes")
+        found.append(_pairs(rare.join(sizes.where(F.col("size") <= hot), "key", "left_semi"), lengths, similarity))
+        more = rare.join(sizes.where(F.col("size") > hot), "key", "left_semi").select("node").union(runs.where("key is null").select("node"))
+        more = more.union(rows.where(F.length("words") <= 4 * short).select("node")).distinct()
         rows = stored(rows.join(more, "node", "left_semi"), "rest")
         if rows.isEmpty():
             break

@@ -423,3 +423,36 @@ def test_runs_that_similar_texts_share():
             (u, u_most), (v, v_most) = omh.rare_runs(x, q, 0.8), omh.rare_runs(y, q, 0.8)
             both = len(np.intersect1d(u, v))
             assert both >= max(len(u) - u_most, len(v) - v_most) + 1
+
+
+def test_a_crowd_of_texts_with_a_passage_joins_few_runs(spark, monkeypatch):
+    """What many unlike texts share is counted and set aside; it isn't joined again with every text."""
+    r = random.Random(18)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [passage + [f"w{r.randrange(10**6)}" for _ in range(80)] for _ in range(150)]
+    texts += [changed(r, t, 0.1, False) for t in texts[:5]]
+    codes = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if omh.similar(codes[i], codes[j], 0.8)}
+    rows = spark.createDataFrame([(i, i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "node long, root long, words binary")
+    lengths = spark.createDataFrame([(i, len(c)) for i, c in enumerate(codes)], "node long, n int")
+    joined = []
+
+    def kept(df, name, stored=omh.stored):
+        if name == "rare":
+            joined.append(df._jdf.queryExecution())
+        return stored(df, name)
+
+    monkeypatch.setattr(omh, "stored", kept)
+    pairs, held = omh._across(rows, lengths, 0.8, 2)
+    assert want and held is None and want <= set(map(tuple, pairs.collect()))
+    plan = joined[0].analyzed()
+    joins = [n for n in _nodes(plan) if n.nodeName() == "Join"]
+    frame = spark._jvm.org.apache.spark.sql.classic.Dataset
+    assert frame.ofRows(spark._jsparkSession, joins[0]).count() < 6 * len(texts)
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
