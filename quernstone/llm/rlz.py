@@ -225,7 +225,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _along(window: int):
-    """Repeated windows of documents (each batch's sorted anew) as runs along the same reference."""
+    """Repeated windows of documents (each batch's sorted anew) as runs along the same reference; a run that comes back in equal steps
+    (a passage with a period, of which each round repeats the first) is one row, however often it does."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,12 +237,27 @@ def _along(window: int):
             new[1:] = (doc[1:] != doc[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (start[1:] - start[:-1] != n[:-1]) | (ref_start[1:] - ref_start[:-1] != n[:-1])
             first = np.flatnonzero(new)
             if len(first):
-                sums = np.add.reduceat(n, first)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], start[first], ref_doc[first], ref_start[first], sums)], ["doc", "start", "ref_doc", "ref_start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _rounds(doc[first], start[first], ref_doc[first], ref_start[first], np.add.reduceat(n, first))], ["doc", "start", "ref_doc", "ref_start", "n", "times", "step"])
 
     return go
 
 
+def _rounds(doc, start, ref_doc, ref_start, n) -> tuple[np.ndarray, ...]:
+    """Runs (doc, start, ref_doc, ref_start, n) with ``times`` and ``step``: those that differ only in their start, in equal steps, are one."""
+    order = np.lexsort((start, n, ref_start, ref_doc, doc))
+    doc, start, ref_doc, ref_start, n = (x[order] for x in (doc, start, ref_doc, ref_start, n))
+    other = np.ones(len(doc), dtype=bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (ref_start[1:] != ref_start[:-1]) | (n[1:] != n[:-1])
+    steps = np.diff(start, prepend=start[:1])
+    new = other.copy()
+    # the second of a group sets the step, later ones go on with that of the one before or begin anew
+    new[2:] |= ~other[1:-1] & (steps[2:] != steps[1:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(doc)))
+    step = np.where(times > 1, steps[np.minimum(first + 1, len(doc) - 1)], 0)
+    return doc[first], start[first], ref_doc[first], ref_start[first], n[first], times, step
+
+
 def _blocks(window: int, size: int, wanted):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +315,7 @@ def _cut(window: int, size: int, with_text: bool):
                     blocks: dict[tuple[int, int], list[list[bytes]]] = {}
                     for b in batch.column("blocks")[i].as_py() or ():
                         blocks.setdefault((b["ref_doc"], b["block"]), []).append(b["words"].split())
-                    factors = parse(words, [(r["start"], r["n"], r["ref_doc"], r["ref_start"]) for r in runs[i].as_py()], blocks, window, size)
+                    factors = parse(words, [(r["start"] + k * r["step"], r["n"], r["ref_doc"], r["ref_start"]) for r in runs[i].as_py() for k in range(r["times"])], blocks, window, size)
                     keep = np.ones(n, dtype=bool)
                     for at, length, _, _ in factors:
                         keep[at : at + length] = False
@@ -352,7 +368,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, keep: t
     and, ``with_text``, kept_text (white space as it was) and factors.  ``keep``: columns to carry along."""
     sc = docs.sparkSession.sparkContext
     found = repeated_windows(docs, window).repartition("doc").sortWithinPartitions("doc")
-    runs = stored(found.mapInArrow(_along(window), "doc long, start long, ref_doc long, ref_start long, n long"), "runs")
+    runs = stored(found.mapInArrow(_along(window), "doc long, start long, ref_doc long, ref_start long, n long, times long, step long"), "runs")
     # blocks that are referred to, and who needs them
     numbers = F.sequence(F.floor(F.col("ref_start") / block), F.floor((F.col("ref_start") + F.col("n") - 1) / block))
     needs = runs.select("doc", "ref_doc", F.explode(numbers).alias("block")).distinct()
@@ -360,7 +376,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, keep: t
     referred = sc.broadcast(Bloom(_mixed(runs.select("ref_doc")), "key"))
     blocks = texts.mapInArrow(_blocks(window, block, referred), "ref_doc long, block long, words binary")
     own = needs.join(blocks, ["ref_doc", "block"]).groupBy("doc").agg(F.collect_set(F.struct("ref_doc", "block", "words")).alias("blocks"))
-    spans = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("runs"))
+    spans = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start", "times", "step")).alias("runs"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         *(F.col(c).alias(f"other_{c}") for c in keep), document_number().alias("doc"),

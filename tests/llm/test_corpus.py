@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import brown, components, decontam, omh, pivot, rulefit
+from quernstone.llm import brown, components, decontam, omh, pivot, rlz, rulefit
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -456,3 +456,29 @@ def _nodes(plan):
     children = plan.children()
     for i in range(children.size()):
         yield from _nodes(children.apply(i))
+
+
+def test_rounds_of_a_period_are_one_row(spark, monkeypatch):
+    """Places that repeat in equal steps are one row, and all of their words go."""
+    sizes = {}
+
+    def kept(df, name, stored=rlz.stored):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(rlz, "stored", kept)
+    rows = [(i, " ".join([f"h{i}", *[f"a{i}", f"b{i}"] * 300, f"m{i}", *[f"c{i}", f"d{i}", f"e{i}"] * 50, "end"])) for i in range(6)]
+    got = rlz.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    # the first round of each period stays
+    assert {r.n_removed for r in got} == {(600 - 2) + (150 - 3)}
+    assert sizes["runs"] <= 6 * 6
+
+
+def test_rounds_keep_every_run():
+    r = np.random.default_rng(19)
+    for _ in range(200):
+        m = int(r.integers(1, 40))
+        runs = sorted({(int(a), int(b), 0, int(c), int(d)) for a, b, c, d in zip(r.integers(0, 2, m), r.integers(0, 30, m), r.integers(0, 2, m), r.integers(1, 3, m), strict=True)})
+        out = zip(*(x.tolist() for x in rlz._rounds(*(np.array(c, np.int64) for c in zip(*runs, strict=True)))), strict=True)
+        assert sorted((doc, start + k * step, ref, at, n) for doc, start, ref, at, n, times, step in out for k in range(times)) == runs
