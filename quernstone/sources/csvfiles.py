@@ -1,7 +1,7 @@
 """CSV files as a Spark data source of lines: plain files by ranges of bytes, entries of zip files one by one.
 
-- A plain file is cut into ranges of ``rangebytes``; a line belongs to the range its first byte is in, and a task reads its range
-  from there and on to the end of its last line.
+- A plain file is cut into ranges of ``rangebytes``; a line belongs to the range its first byte is in, and is read from there
+  on to its end.  A task has one range, or as many small ones, of one or several files, as make up TASK_BYTES.
 - A zip file's central directory, at its end, says where its entries are; each entry is a task that reads its own
   bytes and unpacks them as it goes, so neither the archive nor an entry has to fit in memory.
 - A file compressed as a whole (.gz, .bz2) is one task.
@@ -33,6 +33,7 @@ NAME = "csv_lines"
 SCHEMA = "file string, entry string, first long, pos long, line string"
 COUNTS = "file string, first long, chars long"
 RANGE_BYTES = 64 << 20
+TASK_BYTES = 1 << 20
 BATCH_LINES = 8192
 CHUNK = 1 << 20
 
@@ -47,6 +48,13 @@ class Part(InputPartition):
     end: int
 
 
+@dataclass
+class Task(InputPartition):
+    """What a task reads: one part, or ranges that follow each other, which are put together in parts of several ranges."""
+
+    parts: list[Part]
+
+
 def _place(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return (arrow_fs.LocalFileSystem(), uri.removeprefix("file://")) if uri.startswith("file://") else arrow_fs.FileSystem.from_uri(uri)
 
@@ -80,13 +88,32 @@ def _parts(path: str, range_bytes: int) -> Iterator[Part]:
             yield from (Part(file, None, at, min(at + range_bytes, size)) for at in range(0, size, range_bytes))
 
 
+def _tasks(parts: Iterator[Part], task_bytes: int = TASK_BYTES) -> Iterator[Task]:
+    """Small ranges put together; entries and compressed files are tasks of their own."""
+    held, size = [], 0
+    for p in parts:
+        if p.entry is not None or p.end < 0:
+            yield Task([p])
+            continue
+        if held and size + p.end - p.first > task_bytes:
+            yield Task(held)
+            held, size = [], 0
+        if held and held[-1].file == p.file and held[-1].end == p.first:
+            held[-1] = Part(p.file, None, held[-1].first, p.end)
+        else:
+            held.append(p)
+        size += p.end - p.first
+    if held:
+        yield Task(held)
+
+
 def _range_lines(f, first: int, end: int) -> Iterator[bytes]:
     """Lines of a file whose first byte is in the range."""
-    at = first
+    at, most = first, min(CHUNK, max(1 << 10, end - first))  # no more than the range needs
     if first:  # the line that runs into the range belongs to the one before
         f.seek(first - 1)
         at = first - 1
-        while chunk := f.read(CHUNK):
+        while chunk := f.read(most):
             cut = chunk.find(b"\n")
             if cut >= 0:
                 at += cut + 1
@@ -97,7 +124,7 @@ def _range_lines(f, first: int, end: int) -> Iterator[bytes]:
     f.seek(at)
     rest = b""
     while at < end:
-        chunk = f.read(CHUNK)
+        chunk = f.read(most)
         lines = (rest + chunk).split(b"\n")
         rest = lines.pop() if chunk else b""
         for line in lines:
@@ -114,17 +141,20 @@ def _stream_lines(f) -> Iterator[bytes]:
         yield line[:-1] if line.endswith(b"\n") else line
 
 
-def _lines_of(part: Part) -> tuple[str | None, Iterator[bytes]]:
-    f = _opened(part.file)
-    if part.entry is not None:
-        z = zipfile.ZipFile(f)
-        entry = z.infolist()[part.entry]
-        return entry.filename, _stream_lines(z.open(entry))
-    if part.file.endswith(".gz"):
-        return None, _stream_lines(gzip.open(f))
-    if part.file.endswith(".bz2"):
-        return None, _stream_lines(bz2.open(f))
-    return None, _range_lines(f, part.first, part.end)
+def _lines_of(part: Part, range_bytes: int) -> Iterator[tuple[str | None, int, Iterator[bytes]]]:
+    """(entry, first byte, lines) of each range of a part, or of all of an entry or a compressed file."""
+    with _opened(part.file) as f:
+        if part.entry is not None:
+            with zipfile.ZipFile(f) as z:
+                entry = z.infolist()[part.entry]
+                yield entry.filename, 0, _stream_lines(z.open(entry))
+        elif part.file.endswith(".gz"):
+            yield None, 0, _stream_lines(gzip.open(f))
+        elif part.file.endswith(".bz2"):
+            yield None, 0, _stream_lines(bz2.open(f))
+        else:
+            for first in range(part.first, part.end, range_bytes):
+                yield None, first, _range_lines(f, first, min(first + range_bytes, part.end))
 
 
 class LineReader(DataSourceReader):
@@ -132,33 +162,33 @@ class LineReader(DataSourceReader):
         self.path, self.range_bytes = options["path"], int(options.get("rangebytes", RANGE_BYTES))
         self.counting = options.get("counts", "false") == "true"
 
-    def partitions(self) -> list[Part]:
-        parts = list(_parts(self.path, self.range_bytes))
-        return [p for p in parts if p.entry is None and p.end >= 0] if self.counting else parts
+    def partitions(self) -> list[Task]:
+        parts = _parts(self.path, self.range_bytes)
+        return list(_tasks(p for p in parts if not self.counting or p.entry is None and p.end >= 0))
 
-    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Task | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark makes of no partitions
             return
-        entry, lines = _lines_of(partition)
-        if self.counting:
-            chars = sum(len(line.removesuffix(b"\r").decode("utf-8", "replace")) + 1 for line in lines)
-            yield pa.RecordBatch.from_pydict({"file": [partition.file], "first": [partition.first], "chars": [chars]}, schema=_COUNTS)
-            return
-        pos, places, texts = 0, [], []
-        for line in lines:
-            text = line.removesuffix(b"\r").decode("utf-8", "replace")
-            places.append(pos)
-            texts.append(text)
-            pos += len(text) + 1
-            if len(texts) == BATCH_LINES:
-                yield self._batch(partition, entry, places, texts)
-                places, texts = [], []
-        yield self._batch(partition, entry, places, texts)
-
-    @staticmethod
-    def _batch(part: Part, entry: str | None, places: list[int], texts: list[str]) -> pa.RecordBatch:
-        n = len(texts)
-        return pa.RecordBatch.from_pydict({"file": [part.file] * n, "entry": [entry] * n, "first": [part.first] * n, "pos": places, "line": texts}, schema=_LINES)
+        schema, rows = _COUNTS if self.counting else _LINES, []
+        for part in partition.parts:
+            for entry, first, lines in _lines_of(part, self.range_bytes):
+                pos = 0
+                for line in lines:
+                    text = line.removesuffix(b"\r").decode("utf-8", "replace")
+                    if not self.counting:
+                        rows.append((part.file, entry, first, pos, text))
+                    pos += len(text) + 1
+                    if len(rows) == BATCH_LINES:
+                        yield _batch(rows, schema)
+                        rows = []
+                if self.counting:
+                    rows.append((part.file, first, pos))
+        if rows:
+            yield _batch(rows, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 _LINES = pa.schema([("file", pa.string()), ("entry", pa.string()), ("first", pa.int64()), ("pos", pa.int64()), ("line", pa.string())])

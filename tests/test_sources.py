@@ -82,3 +82,31 @@ def test_reports_make_a_delivery_visible(spark, tmp_path):
     assert delivery.delivered(spark, path).count() == 40
     assert delivery.deliver(rows.limit(0), path, "nothing").collect() == []
     assert {r.delivery for r in delivery.reports(spark, path).collect()} == {"first"}
+
+
+def test_small_ranges_share_tasks_and_read_little(spark, tmp_path):
+    """As many tasks as the bytes need, not one for each range; a range is read without the rest of its file."""
+    (tmp_path / "csv").mkdir()
+    lines = [f"line,{i}" for i in range(20_000)]
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / "csv" / name).write_text("\n".join(lines) + "\n")
+    spark.dataSource.register(csvfiles.CsvLines)
+    assert spark.read.format(csvfiles.NAME).options(path=str(tmp_path / "csv"), rangebytes=500).load().rdd.getNumPartitions() == 1
+    got = {}
+    for r in csvfiles.lines(spark, str(tmp_path / "csv"), 500).collect():
+        got.setdefault(os.path.basename(r.file), []).append((r.pos, r.line))
+    assert {k: sorted(v) for k, v in got.items()} == {"a.csv": placed(lines), "b.csv": placed(lines)}
+    tasks = list(csvfiles._tasks(csvfiles._parts(str(tmp_path / "csv"), 500), 100_000))
+    ranges = [(p.file, at) for t in tasks for p in t.parts for at in range(p.first, p.end, 500)]
+    assert len(tasks) == 5 and ranges == [(p.file, p.first) for p in csvfiles._parts(str(tmp_path / "csv"), 500)]
+    with open(tmp_path / "csv" / "a.csv", "rb") as f:
+        read = []
+
+        class Counted:
+            seek = f.seek
+
+            def read(self, n):
+                read.append(n)
+                return f.read(n)
+
+        assert list(csvfiles._range_lines(Counted(), 500, 1000)) and sum(read) <= 4096
