@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import functions as F
 
@@ -31,20 +33,37 @@ def _(spark, d):
     return _parsed(csvfiles.read(spark, path, 2000))
 
 
-def _archive(folder: str):
-    def go(group: pd.DataFrame) -> pd.DataFrame:
-        """One archive file: a small entry and one with the other seven eighths of the lines."""
+class _Stream:
+    """A stream that is only written on; zip files find out that they can't go back in it."""
+
+    def __init__(self, file):
+        self.write, self.flush = file.write, file.flush
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(run, archive, entry, values) of the rows of a batch that stand together."""
+    for batch in batches:
+        run, archive, entry = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        cut = (run[1:] != run[:-1]) | (archive[1:] != archive[:-1]) | (entry[1:] != entry[:-1])
+        ends = [*(np.flatnonzero(cut) + 1), len(run)] if len(run) else []
+        for first, end in zip([0, *ends], ends, strict=False):
+            yield run[first], archive[first], entry[first], batch.column(3).slice(first, end - first).to_pylist()
+
+
+def _archives(folder: str):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Archive files of rows (run, archive, entry, value) in this order, line by line: no archive is held."""
         system, at = arrow_fs.FileSystem.from_uri(folder)
-        name = f"{group['run'].iloc[0]}-{group['archive'].iloc[0]}.zip"
-        rows = group.sort_values(["key", "number", "value"])
-        with io.BytesIO() as out:
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for entry, part in rows.groupby((rows["key"] % 8 == 0).map({True: "small.csv", False: "more/large.csv"})):
-                    z.writestr(entry, "\r\n".join(part["value"]) + "\r\n")
-            system.create_dir(at, recursive=True)
-            with system.open_output_stream(f"{at}/{name}") as file:
-                file.write(out.getvalue())
-        return pd.DataFrame({"lines": [len(group)]})
+        system.create_dir(at, recursive=True)
+        for (run, archive), lines in groupby(_stretches(batches), key=lambda r: r[:2]):
+            n = 0
+            with system.open_output_stream(f"{at}/{run}-{archive}.zip") as file, zipfile.ZipFile(_Stream(file), "w", zipfile.ZIP_DEFLATED) as z:
+                for entry, part in groupby(lines, key=lambda r: r[2]):
+                    with z.open(entry, "w", force_zip64=True) as out:
+                        for *_, values in part:
+                            out.write(("\r\n".join(values) + "\r\n").encode())
+                            n += len(values)
+            yield pa.RecordBatch.from_pydict({"lines": [n]})
 
     return go
 
@@ -59,9 +78,15 @@ def _(spark, d):
     values = F.array(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.concat(F.lit('say "'), "l_returnflag", F.lit('"')))
     lines = table(spark, d, "lineitem").select(
         F.floor(F.col("l_orderkey") / (1 << 20)).alias("run"), (F.col("l_orderkey") % 3).alias("archive"),
+        F.when(F.col("l_orderkey") % 8 == 0, "small.csv").otherwise("more/large.csv").alias("entry"),
         F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("number"), csv.to_line(values).alias("value"),
     )
-    lines.groupBy("run", "archive").applyInPandas(_archive(path), "lines long").write.format("noop").mode("overwrite").save()
+    # a partition for each archive
+    most = lines.agg(F.max("run")).first()[0] or 0
+    archives = min(3 * (most + 1), 1 << 12)
+    lines = lines.repartitionById(archives, F.pmod(3 * F.col("run") + F.col("archive"), F.lit(archives)).cast("int"))
+    lines = lines.sortWithinPartitions("run", "archive", F.desc("entry"), "key", "number", "value").select("run", "archive", "entry", "value")
+    lines.mapInArrow(_archives(path), "lines long").write.format("noop").mode("overwrite").save()
     f = lambda i: F.get("fields", F.lit(i))
     return csvfiles.read(spark, path).select(
         F.element_at(F.split("file", "/"), -1).alias("archive"), "entry", f(0).cast("long").alias("orderkey"), f(1).cast("long").alias("linenumber"),

@@ -7,9 +7,11 @@ import gzip
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.plans import sources
 from quernstone.sources import csvfiles
 from quernstone.streaming import delivery
 
@@ -110,3 +112,21 @@ def test_small_ranges_share_tasks_and_read_little(spark, tmp_path):
                 return f.read(n)
 
         assert list(csvfiles._range_lines(Counted(), 500, 1000)) and sum(read) <= 4096
+
+
+def test_archives_are_written_as_they_come(tmp_path):
+    """An archive's bytes are in its file before all its lines are read."""
+    path = f"file://{tmp_path}/zips"
+    rows = [(0, 1, "x.csv", f"{i * 7919 % 10**9}-{i * 104729 % 10**9}") for i in range(200_000)] + [(0, 2, "y.csv", "ü"), (0, 2, "z.csv", "z")]
+
+    def batches():
+        for i in range(0, len(rows), 10_000):
+            if i == 190_000:
+                assert os.path.getsize(tmp_path / "zips/0-1.zip") > 500_000
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 10_000], strict=True)], ["run", "archive", "entry", "value"])
+
+    assert [b.column(0)[0].as_py() for b in sources._archives(path)(batches())] == [200_000, 2]
+    with zipfile.ZipFile(tmp_path / "zips/0-1.zip") as z:
+        assert z.testzip() is None and z.read("x.csv").decode() == "".join(r[3] + "\r\n" for r in rows[:200_000])
+    with zipfile.ZipFile(tmp_path / "zips/0-2.zip") as z:
+        assert [(e.filename, z.read(e).decode()) for e in z.infolist()] == [("y.csv", "ü\r\n"), ("z.csv", "z\r\n")]
