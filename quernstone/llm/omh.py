@@ -26,10 +26,11 @@ fifth of the words is changed, evenly spaced, have hardly a run of five words in
 - Larger buckets in several components come from passages that many unlike texts share.  Their nodes are joined exactly (``_across``): no
   pair of them that the rule takes is left out, whatever samples it shares.  A text of m words has at least m - q + 1 - q * edits runs of
   q words in common with a similar one, and by the second half of the rule a share of its distinct k-mers; so two similar texts have one of the
-  rarest runs in common that are left when that many less one of the commonest are set aside.  Runs of five, three, two words and one follow each other:
+  rarest runs in common that are left when that many less one of the commonest are set aside.  Runs of two words, of five (which count once however often a text repeats them) and of one follow each other:
   where a rare run stands in at most HOT nodes, all pairs across components follow; nodes that have one in more (a passage that is
   too large a share of their text) go on to the next.  Runs of one component only are the rarest, as they link nothing, and those of more than CROWD * HOT nodes
-  (and a few that a filter of fixed size takes for such; an order needs only be the same for all texts) the commonest; neither is shuffled more than once, for the count.  What is crowded still after single words agrees in most of its words: those nodes are held against each other
+  (and a few that a filter of fixed size takes for such; an order needs only be the same for all texts) the commonest; neither is
+  shuffled more than once, for the count, which each task sums up over its texts before, so that a passage of all of them is one row of it.  What is crowded still after single words agrees in most of its words: those nodes are held against each other
   in blocks, each a task of its own, ruled out by their counts of words first.  That step alone grows with the square of its nodes.
 - Texts are never shuffled: the word sequences of candidates only are, picked where the texts
   are read by a Bloom filter of fixed size.
@@ -65,7 +66,8 @@ ORDERS = 64
 LEAST = 2
 HOT = 16
 CROWD = 8
-RUNS = (WORDS_IN_KMER, 3, 2, 1)
+RUNS = (2, WORDS_IN_KMER, 1)
+AT_ONCE = 1 << 18
 IN_BLOCK = 256
 COUNTS = 256
 _factors = (np.random.default_rng(20190712).integers(1, 1 << 63, size=256, dtype=np.uint64) << U64(1)) | U64(1)
@@ -339,10 +341,37 @@ def not_by_runs(q: int, similarity: float) -> int | None:
     return max((n for n in range(1, upto + 1) if least_common(n, q, similarity) < 1), default=0)
 
 
-def _runs(q: int, similarity: float, some=None, big=None):
-    """(key, node, root, aside) of every run of texts (node, root, words), some texts at a time; aside: how many of a text's commonest runs may be set aside.
+def _counted(q: int, similarity: float, at_once: int = AT_ONCE):
+    """(key, n, lo, hi) of every run of texts (node, root, words): how many texts have it and their least and greatest root, summed up over texts of ``at_once`` runs."""
 
-    With two filters, ``some`` and ``big``: only runs that are in the first and not in the second; those in the second are set aside before
+    def summed(runs: list[np.ndarray], roots: list[int]) -> pa.RecordBatch:
+        key, root = np.concatenate(runs), np.repeat(np.array(roots, np.int64), [len(r) for r in runs])
+        order = np.argsort(key)
+        key, root = key[order], root[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        columns = [as_long(key[head]), np.diff(np.append(head, len(key))), np.minimum.reduceat(root, head), np.maximum.reduceat(root, head)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "lo", "hi"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, roots, size = [], [], 0
+        for batch in batches:
+            for root, words in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                runs.append(rare_runs(np.frombuffer(words.as_py(), dtype=np.uint32), q, similarity)[0])
+                roots.append(root)
+                size += len(runs[-1])
+                if size >= at_once:
+                    yield summed(runs, roots)
+                    runs, roots, size = [], [], 0
+        if size:
+            yield summed(runs, roots)
+
+    return go
+
+
+def _runs(q: int, similarity: float, some, big):
+    """(key, node, root, aside) of the runs of texts (node, root, words), some texts at a time; aside: how many of a text's commonest runs may be set aside.
+
+    Of two filters, ``some`` and ``big``: only runs that are in the first and not in the second; those in the second are set aside before
     all others, and a text that has more of them than it may set aside has a row without a key."""
 
     def batched(rows: list[tuple[np.ndarray, int, int, int, bool]]) -> pa.RecordBatch:
@@ -359,12 +388,9 @@ def _runs(q: int, similarity: float, some=None, big=None):
             held, size = [], 0
             for node, root, words in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 runs, most = rare_runs(np.frombuffer(words.as_py(), dtype=np.uint32), q, similarity)
-                aside, more = len(runs) - most, False
-                if big is not None:
-                    last = big.value.probe(as_long(runs))
-                    runs, n = runs[~last & some.value.probe(as_long(runs))], int(last.sum())
-                    aside, more = max(0, aside - n), n > aside
-                held.append((runs, node, root, aside, more))
+                aside, last = len(runs) - most, big.value.probe(as_long(runs))
+                runs, n = runs[~last & some.value.probe(as_long(runs))], int(last.sum())
+                held.append((runs, node, root, max(0, aside - n), n > aside))
                 size += len(runs)
                 if size >= 1 << 16:
                     yield batched(held)
@@ -418,13 +444,13 @@ def _across(rows: DataFrame, lengths: DataFrame, similarity: float, hot: int) ->
         short = not_by_runs(q, similarity)
         if short is None:
             continue
-        texts, layout = rows.select("node", "root", "words"), "key long, node long, root long, aside int"
+        texts = rows.select("node", "root", "words")
         # runs of one component only come first in the order of rarity: they link nothing, so they aren't met again
-        spread = texts.mapInArrow(_runs(q, similarity), layout).groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        spread = texts.mapInArrow(_counted(q, similarity), "key long, n long, lo long, hi long").groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         spread = stored(spread.where("lo < hi").select("key", "n"), "spread")
         # those of a crowd come last: their texts go on if they have too many of them
         some, big = (sc.broadcast(Bloom(spread.where(which), "key")) for which in (F.col("n") <= CROWD * hot, F.col("n") > CROWD * hot))
-        runs = stored(texts.mapInArrow(_runs(q, similarity, some, big), layout), "runs")
+        runs = stored(texts.mapInArrow(_runs(q, similarity, some, big), "key long, node long, root long, aside int"), "runs")
         from_last = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")))
         rare = runs.join(spread.where(F.col("n") <= CROWD * hot).hint("merge"), "key").withColumn("from_last", from_last).where("from_last > aside").select("key", "node", "root")
         rare = stored(rare, "rare")

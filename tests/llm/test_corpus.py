@@ -451,6 +451,29 @@ def test_a_crowd_of_texts_with_a_passage_joins_few_runs(spark, monkeypatch):
     assert frame.ofRows(spark._jsparkSession, joins[0]).count() < 6 * len(texts)
 
 
+def test_a_passage_is_counted_once_a_task(spark):
+    """The count of runs has a row for each run of a task's texts, not for each text that has it, and says the same."""
+    r = random.Random(19)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [passage + [f"w{r.randrange(10**6)}" for _ in range(10)] for _ in range(300)]
+    codes = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in texts]
+    rows = spark.createDataFrame([(i, i // 2, bytearray(c.tobytes())) for i, c in enumerate(codes)], "node long, root long, words binary").coalesce(2)
+    for q in omh.RUNS:
+        want = {}
+        for i, c in enumerate(codes):
+            for key in omh.rare_runs(c, q, 0.8)[0].view(np.int64).tolist():
+                n, lo, hi = want.get(key, (0, i // 2, i // 2))
+                want[key] = (n + 1, min(lo, i // 2), max(hi, i // 2))
+        for at_once in (omh.AT_ONCE, 700):
+            made = rows.mapInArrow(omh._counted(q, 0.8, at_once), "key long, n long, lo long, hi long").collect()
+            got = {}
+            for key, n, lo, hi in made:
+                m, a, b = got.get(key, (0, lo, hi))
+                got[key] = (m + n, min(a, lo), max(b, hi))
+            assert got == want, q
+            assert len(made) < (2 * len(want) if at_once == omh.AT_ONCE else 0.6 * sum(n for n, _, _ in want.values()))
+
+
 def _nodes(plan):
     yield plan
     children = plan.children()
