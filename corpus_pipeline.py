@@ -18,14 +18,20 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, decontam, omh, rlz, rulefit
 from quernstone.llm.scratch import stored
-from quernstone.plans.session import ship_package
+from quernstone.plans.session import ship_package, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def prepare(spark: SparkSession) -> None:
+    """The executors stay the same from stage to stage, and don't give memory back: batches of texts are kept small."""
+    ship_package(spark)
+    small_batches(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
-    ship_package(spark)
+    prepare(spark)
     model = rulefit.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rulefit.scored(docs, model, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
@@ -37,7 +43,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least number of each class of near duplicates, one row of it."""
-    ship_package(spark)
+    prepare(spark)
     rows = _numbered(docs)
     firsts = omh.classes(rows.select(F.col("number").alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias("number")).distinct()
     one = rows.join(firsts, "number", "left_semi").groupBy("number").agg(F.min(F.struct("text", "doc_id", *COLUMNS[2:])).alias("row"))
@@ -46,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less their repeated spans; documents of which nothing is left go."""
-    ship_package(spark)
+    prepare(spark)
     cut = rlz.dedup(docs, keep=("lang", "source", "n_chars")).where("n_removed = 0 or n_removed < n_words")
     text = F.col("kept_text")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
@@ -54,7 +60,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     rows = _numbered(docs)
     found = decontam.overlaps(rows.select(F.col("number").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return rows.join(found.select(F.col("doc_id").alias("number")).distinct(), "number", "left_anti").select(*COLUMNS)
@@ -62,7 +68,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, digests and ids of the documents left."""
-    ship_package(spark)
+    prepare(spark)
     return bpe.encode(docs, bpe.tokenizer_file("word_bpe_49k.json")).drop("decoded")
 
 

@@ -9,6 +9,9 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of rows that go to a Python worker at once; Spark's own 64 MB, in buffers that double, are a large part of a small executor.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _local: list[str] = []
 
@@ -31,6 +34,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of texts that tasks hold in the JVM and in Python alike, for this session; a limit that it has already stays."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 

@@ -10,6 +10,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,6 +361,30 @@ def test_tree_paths(spark):
     assert {r.tests for t in forest.trees for r in rulefit.paths(t._call_java("rootNode"), ["a", "b"])} == want and len(want) > 8
 
 
+def test_stages_hand_over_small_batches_of_texts(spark, sf_dir):
+    """After any stage, texts reach Python a few MB at a time; a limit of the user's own stays."""
+    import corpus_pipeline as cp
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    for name, stage in cp.STAGES:
+        spark.conf.unset(key)
+        stage(spark, docs, sf_dir)
+        got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 4000 * 5000 and max(got) < 5 << 20, name
+    try:
+        spark.conf.set(key, "1000000")
+        cp.encode(spark, docs, sf_dir)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as cp
 
