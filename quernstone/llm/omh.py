@@ -29,8 +29,9 @@ fifth of the words is changed, evenly spaced, have hardly a run of five words in
   rarest runs in common that are left when that many less one of the commonest are set aside.  Runs of two words, of five (which count once however often a text repeats them) and of one follow each other:
   where a rare run stands in at most HOT nodes, all pairs across components follow; nodes that have one in more (a passage that is
   too large a share of their text) go on to the next.  Runs of one component only are the rarest, as they link nothing, and those of more than CROWD * HOT nodes
-  (and a few that a filter of fixed size takes for such; an order needs only be the same for all texts) the commonest; neither is
-  shuffled more than once, for the count, which each task sums up over its texts before, so that a passage of all of them is one row of it.  What is crowded still after single words agrees in most of its words: those nodes are held against each other
+  (and a few that a filter of fixed size takes for such; an order needs only be the same for all texts) the commonest.  The former aren't shuffled
+  at all, but for some: a map of fixed size, of bits that runs of several components have, rules them out.  The latter are once, for the count,
+  which each task sums up over its texts before, so that a passage of all of them is one row of it.  What is crowded still after single words agrees in most of its words: those nodes are held against each other
   in blocks, each a task of its own, ruled out by their counts of words first.  That step alone grows with the square of its nodes.
 - Texts are never shuffled: the word sequences of candidates only are, picked where the texts
   are read by a Bloom filter of fixed size.
@@ -54,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bits import Bloom
+from .bits import MARKS, Bloom, Marks, Owned, owned_bits
 from .components import components
 from .rlz import grams
 from .scratch import stored
@@ -341,11 +342,42 @@ def not_by_runs(q: int, similarity: float) -> int | None:
     return max((n for n in range(1, upto + 1) if least_common(n, q, similarity) < 1), default=0)
 
 
-def _counted(q: int, similarity: float, at_once: int = AT_ONCE):
-    """(key, n, lo, hi) of every run of texts (node, root, words): how many texts have it and their least and greatest root, summed up over texts of ``at_once`` runs."""
+def _runs_at_once(batches: Iterator[pa.RecordBatch], q: int, similarity: float, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The runs of texts (node, root, words) and the root of each, of texts of ``at_once`` runs at a time."""
+    runs, roots, size = [], [], 0
 
-    def summed(runs: list[np.ndarray], roots: list[int]) -> pa.RecordBatch:
-        key, root = np.concatenate(runs), np.repeat(np.array(roots, np.int64), [len(r) for r in runs])
+    def both() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(runs), np.repeat(np.array(roots, np.int64), [len(r) for r in runs])
+
+    for batch in batches:
+        for root, words in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            runs.append(rare_runs(np.frombuffer(words.as_py(), dtype=np.uint32), q, similarity)[0])
+            roots.append(root)
+            size += len(runs[-1])
+            if size >= at_once:
+                yield both()
+                runs, roots, size = [], [], 0
+    if size:
+        yield both()
+
+
+def _marked(q: int, similarity: float, bits: int, at_once: int = AT_ONCE):
+    """Marks of the runs of texts (node, root, words) by their roots: two maps of fixed size for each task, however many runs it has."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(bits)
+        for key, root in _runs_at_once(batches, q, similarity, at_once):
+            marks.add(key, root)
+        yield marks.rows()
+
+    return go
+
+
+def _counted(q: int, similarity: float, at_once: int = AT_ONCE, owned=None):
+    """(key, n, lo, hi) of every run of texts (node, root, words), or of those that pass ``owned``: how many texts have it and their least
+    and greatest root, summed up over texts of ``at_once`` runs."""
+
+    def summed(key: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(key)
         key, root = key[order], root[order]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -353,17 +385,12 @@ def _counted(q: int, similarity: float, at_once: int = AT_ONCE):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "lo", "hi"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, roots, size = [], [], 0
-        for batch in batches:
-            for root, words in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                runs.append(rare_runs(np.frombuffer(words.as_py(), dtype=np.uint32), q, similarity)[0])
-                roots.append(root)
-                size += len(runs[-1])
-                if size >= at_once:
-                    yield summed(runs, roots)
-                    runs, roots, size = [], [], 0
-        if size:
-            yield summed(runs, roots)
+        for key, root in _runs_at_once(batches, q, similarity, at_once):
+            if owned is not None:
+                may = owned.value.probe(key)
+                key, root = key[may], root[may]
+            if len(key):
+                yield summed(key, root)
 
     return go
 
@@ -445,8 +472,10 @@ def _across(rows: DataFrame, lengths: DataFrame, similarity: float, hot: int) ->
         if short is None:
             continue
         texts = rows.select("node", "root", "words")
-        # runs of one component only come first in the order of rarity: they link nothing, so they aren't met again
-        spread = texts.mapInArrow(_counted(q, similarity), "key long, n long, lo long, hi long").groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        # runs of one component only come first in the order of rarity: they link nothing, so they are neither counted, but for some that the map lets pass, nor met again
+        bits = owned_bits(texts.agg(F.sum(F.length("words"))).first()[0] // 4)
+        owned = sc.broadcast(Owned(texts.mapInArrow(_marked(q, similarity, bits), MARKS), bits))
+        spread = texts.mapInArrow(_counted(q, similarity, owned=owned), "key long, n long, lo long, hi long").groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         spread = stored(spread.where("lo < hi").select("key", "n"), "spread")
         # those of a crowd come last: their texts go on if they have too many of them
         some, big = (sc.broadcast(Bloom(spread.where(which), "key")) for which in (F.col("n") <= CROWD * hot, F.col("n") > CROWD * hot))

@@ -499,6 +499,56 @@ def test_a_passage_is_counted_once_a_task(spark):
             assert len(made) < (2 * len(want) if at_once == omh.AT_ONCE else 0.6 * sum(n for n, _, _ in want.values()))
 
 
+def test_runs_of_one_component_are_not_counted(spark, monkeypatch):
+    """The count of runs has rows for those that texts of several components have, and hardly any for the rest, which is most of a text."""
+    r = random.Random(20)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [passage + [f"w{r.randrange(10**6)}" for _ in range(80)] for _ in range(150)]
+    texts += [changed(r, t, 0.1, False) for t in texts[:5]]
+    codes = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if omh.similar(codes[i], codes[j], 0.8)}
+    rows = spark.createDataFrame([(i, i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "node long, root long, words binary")
+    lengths = spark.createDataFrame([(i, len(c)) for i, c in enumerate(codes)], "node long, n int")
+    counted = []
+
+    def kept(df, name, stored=omh.stored):
+        if name == "spread":
+            counted.append(df._jdf.queryExecution())
+        return stored(df, name)
+
+    monkeypatch.setattr(omh, "stored", kept)
+    pairs, held = omh._across(rows, lengths, 0.8, 2)
+    assert want and held is None and want <= set(map(tuple, pairs.collect()))
+    made = [n for n in _nodes(counted[0].analyzed()) if n.nodeName() == "MapInArrow"]
+    frame = spark._jvm.org.apache.spark.sql.classic.Dataset
+    assert 0 < frame.ofRows(spark._jsparkSession, made[0]).count() < 10 * len(texts)
+
+
+@pytest.mark.parametrize("bits", [1 << 20, 1 << 15])
+def test_no_run_of_several_components_is_ruled_out(spark, bits):
+    """What passes the map and is counted holds every run of several roots with its full count, wherever its texts lie; also in a map too small for them."""
+    r = random.Random(21)
+    texts = [[f"w{r.randrange(3000)}" for _ in range(60)] for _ in range(200)]
+    texts += [changed(r, texts[0], 0.2, False) for _ in range(40)]  # one component
+    codes = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in texts]
+    roots = [i if i < 200 else 0 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, roots[i], bytearray(c.tobytes())) for i, c in enumerate(codes)], "node long, root long, words binary")
+    for q, parts, at_once in ((2, 1, 100), (2, 1, 1 << 18), (2, 5, 700), (5, 3, 1 << 18), (1, 3, 1000)):
+        all_ = {}
+        for root, c in zip(roots, codes, strict=True):
+            for key in omh.rare_runs(c, q, 0.8)[0].view(np.int64).tolist():
+                all_.setdefault(key, []).append(root)
+        some = rows.repartition(parts)
+        owned = omh.Owned(some.mapInArrow(omh._marked(q, 0.8, bits, at_once), omh.MARKS), bits)
+        counted = some.mapInArrow(omh._counted(q, 0.8, at_once, spark.sparkContext.broadcast(owned)), "key long, n long, lo long, hi long")
+        got = {x.key: (x.n, x.lo, x.hi) for x in counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+        assert all(got[k] == (len(v), min(v), max(v)) for k, v in all_.items() if len(set(v)) > 1)
+        assert all(k in all_ and x[0] == len(all_[k]) for k, x in got.items())
+        if bits == 1 << 20 and q == 2:
+            single = sum(len(v) == 1 for v in all_.values())
+            assert sum(x[0] == 1 for x in got.values()) < 0.1 * single
+
+
 def _nodes(plan):
     yield plan
     children = plan.children()
