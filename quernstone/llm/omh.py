@@ -375,22 +375,34 @@ def _marked(q: int, similarity: float, bits: int, at_once: int = AT_ONCE):
 
 def _counted(q: int, similarity: float, at_once: int = AT_ONCE, owned=None):
     """(key, n, lo, hi) of every run of texts (node, root, words), or of those that pass ``owned``: how many texts have it and their least
-    and greatest root, summed up over texts of ``at_once`` runs."""
+    and greatest root, summed up over texts until there are sums of half of ``at_once`` runs."""
 
-    def summed(key: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        key, n, lo, hi = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(key)
-        key, root = key[order], root[order]
+        key = key[order]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        columns = [as_long(key[head]), np.diff(np.append(head, len(key))), np.minimum.reduceat(root, head), np.maximum.reduceat(root, head)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "lo", "hi"])
+        return key[head], np.add.reduceat(n[order], head), np.minimum.reduceat(lo[order], head), np.maximum.reduceat(hi[order], head)
+
+    def rows(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(as_long(sums[0])), *(pa.array(c) for c in sums[1:])], ["key", "n", "lo", "hi"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for key, root in _runs_at_once(batches, q, similarity, at_once):
             if owned is not None:
                 may = owned.value.probe(key)
                 key, root = key[may], root[may]
-            if len(key):
-                yield summed(key, root)
+            held.append((key, np.ones(len(key), np.int64), root, root))
+            size += len(key)
+            if size >= at_once:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if 2 * size >= at_once:
+                    yield rows(held[0])
+                    held, size = [], 0
+        if size:
+            yield rows(summed(held))
 
     return go
 
